@@ -30,8 +30,11 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 21
 LINEAR = 1.0
 QUADRATIC = 1.0 / 4096
-CACHED_WORDS = 400_000
-LONGEST_CACHED_WORD = 64
+CACHED_WORDS = 1_000_000
+WORD_END = "</w>"
+SIGNS = b".,;:!?*%$&#"
+#: A special token may begin, or a combining mark (with which lower-casing and composing don't commute).
+DELICATE = (b"<|", b"\xcc", b"\xcd")
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
@@ -39,67 +42,107 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class _Index(dict):
+    """Numbers of words; a word that is not there yet gets the next number and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class WordTokenizer:
     """Token ids of texts, word by word, with a bounded cache of words.
 
     The vocabulary's rules never look across white space (it is squeezed, then dropped, and no rule
     spans it), so a text's ids are those of its words one after the other. Texts are cut at spaces and
-    line feeds only; any other white space stays inside a word and is left to the tokenizer.
+    line feeds only; any other white space stays inside a word and is left to the tokenizer. Letters come
+    lower-cased, as the tokenizer would make them, except in a text that may hold a special token or combining marks. Signs
+    at the end of a word are a piece of their own to the tokenizer, so such words are made of two others.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], dtype=np.uint32)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index = {b"": 0}
+        self.index = _Index()
+        dict.update(self.index, {b"\n": 0, b"": 1})  # the end of a document, and what lies between two spaces
+        self.flat, self.used = np.full(1 << 16, self.end_id, np.uint32), 1
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 1
-        self.flat[0], self.sizes[0] = self.end[0], 1  # entry 0 ends a document
-
-    def learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        for word, e in zip(words, encoded):
-            ids, k = e.ids, len(self.index)
-            if k == len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, np.zeros(k, np.int64)]), np.concatenate([self.sizes, np.zeros(k, np.int64)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k], self.index[word] = self.used, len(ids), k
-            self.used += len(ids)
+        self.sizes[0] = 1
+
+    def put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Note the ids of words, given one after the other."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, where each word's end)."""
+        sizes = self.sizes[numbers]
+        upto = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[numbers] - (upto - sizes), sizes) + np.arange(upto[-1])], upto
+
+    def learn(self) -> None:
+        """Ids for the words that are new since the last call."""
+        new, single, other, made = self.index.new, [], [], []
+        for word in new:  # grows on the way
+            stem = word.rstrip(SIGNS)
+            if stem and len(stem) < len(word) and stem[-1:].isalnum():
+                made.append((self.index[word], self.index[stem], self.index[word[len(stem) :]]))
+            elif word.isalpha() or (text := word.decode("utf-8")).isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                single.append(word)
+            else:
+                other.append(word)
+        while len(self.index) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        for s in range(0, len(single), 1000):
+            words = single[s : s + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(words).decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):  # words of letters are one piece each
+                self.put(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), np.diff(ends, prepend=0), ids)
+            else:
+                other += words
+        if other:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False)]
+            self.put(np.fromiter(map(self.index.__getitem__, other), np.int64, len(other)), np.fromiter(map(len, encoded), np.int64, len(encoded)), np.fromiter((k for e in encoded for k in e), np.uint32))
+        if made:
+            numbers = np.array(made, np.int64)
+            ids, _ = self.get(numbers[:, 1:].ravel())
+            self.put(numbers[:, 0], self.sizes[numbers[:, 1:]].sum(axis=1), ids)
+        new.clear()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Per text its ids and the end id."""
+        if len(self.index) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
+            self.clear()
         words: list[bytes] = []
         ends = []
         for text in texts:
-            words += filter(None, text.replace(b"\n", b" ").split(b" "))
-            words.append(b"")
+            if not any(x in text for x in DELICATE):
+                text = text.lower()
+            words += text.replace(b"\n", b" ").split(b" ")
+            words.append(b"\n")
             ends.append(len(words))
-        missing = [w for w in set(words) if w not in self.index]
-        if len(self.index) + len(missing) > CACHED_WORDS:
-            self.clear()
-            missing = [w for w in set(words) if w]
-        if missing:
-            self.learn(missing)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (upto - sizes), sizes) + np.arange(upto[-1])]
-        cuts = upto[np.array(ends) - 1]
-        if len(self.index) > CACHED_WORDS or any(len(w) > LONGEST_CACHED_WORD for w in missing):
-            self.forget(missing)
-        return np.split(ids, cuts[:-1])
-
-    def forget(self, words: list[bytes]) -> None:
-        """Long words are rarely met again: start over once they have filled the table."""
-        if self.used > 8 * CACHED_WORDS:
-            self.clear()
+        if self.index.new:
+            self.learn()
+        ids, upto = self.get(at)
+        return np.split(ids, upto[np.array(ends) - 1][:-1])
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
