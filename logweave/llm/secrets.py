@@ -48,6 +48,10 @@ def _spans(text: Column, pattern: str, group: int, kind: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def _long_enough(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda x: F.length(x["measured"]) >= least)
+
+
 def _f(count: Column) -> Column:
     """count * log2(count) for 0 to WINDOW, looked up."""
     return F.element_at(F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2))), count + 1)
@@ -90,7 +94,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text.alias("text"))
     spans = plain.select("doc_id", *(_spans(F.col("text"), LONG_ONLY.get(kind, pattern), group, kind).alias(kind) for kind, pattern, group, _ in BASE), _spans(F.col("text"), CANDIDATE, 0, "entropy").alias("candidates"))
-    kept = [_named(F.filter(F.col(kind), lambda x, least=least: F.length(x["measured"]) >= least), kind, k) for k, (kind, _, _, least) in enumerate(BASE)]
+    kept = [_named(_long_enough(F.col(kind), least), kind, k) for k, (kind, _, _, least) in enumerate(BASE)]
     scored = F.transform(
         F.filter(F.col("candidates"), lambda x: ~F.lower(x["match"]).rlike("|".join(ALLOWED))),
         lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["match"].rlike("^[0-9a-fA-F]+$").alias("hex"), highest_entropy(x["match"]).alias("bits")),
