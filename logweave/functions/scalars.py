@@ -74,6 +74,12 @@ def epoch_ms(text: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(text))
 
 
+def file_key(path: Column) -> Column:
+    """A path of Spark's file metadata (percent-encoded) as Hadoop spells it; the form of every session_key."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logweave.operators import derive
 from logweave.operators import entries as ops
 from logweave.sources import discovery, file_history, jsonl, persisted, tasks
-from logweave.sources.files import default_dir
+from logweave.sources.files import default_dir, frame, matching
 
 
 class SessionLogs:
@@ -31,16 +31,17 @@ class SessionLogs:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        """(session_key, size) of every file, empty ones included: from the files' metadata alone."""
-        found = self.spark.read.format("binaryFile").load(self.paths)
-        return found.select(F.regexp_replace("path", "^file:/+", "file:///").alias("session_key"), F.col("length").alias("size"))
+        """(session_key, size) of every file, empty ones included: a listing, no file is opened."""
+        return frame(self.spark, matching(self.spark, self.paths), "session_key string, size long")
 
     @cached_property
     def entries(self) -> DataFrame:
         """Entries with the last of each request's lines only."""
         return ops.deduplicate(self.raw_entries)
 
-    messages = entries
+    @property
+    def messages(self) -> DataFrame:
+        return self.entries
 
     def close(self) -> None:
         if "raw_entries" in self.__dict__ and self.persist:

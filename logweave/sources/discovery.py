@@ -18,7 +18,7 @@ SESSION_FILES = "session_key string, project string, name string, size long"
 def session_files(spark: SparkSession, project_dir: str, project: str | None = None) -> DataFrame:
     """(session_key, project, name, size) of the logs directly in a project's folder."""
     name = project if project is not None else project_dir.rstrip("/").rsplit("/", 1)[-1]
-    rows = [(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path, name, n, size) for n, path, _, size in listing(spark, project_dir) if n.endswith(".jsonl")]
+    rows = [(path, name, n, size) for n, path, _, size in listing(spark, project_dir) if n.endswith(".jsonl")]
     return frame(spark, rows, SESSION_FILES)
 
 
@@ -109,7 +109,7 @@ def find_subagent_files(spark: SparkSession, parent: str) -> DataFrame:
     folder, name = parent.rstrip("/").rsplit("/", 1)
     base = name[: -len(".jsonl")] if name.endswith(".jsonl") else name
     listed = [(p, s) for f in (folder, f"{folder}/{base}/subagents") for n, p, d, s in listing(spark, f) if n.endswith(".jsonl") and (n == name or n.startswith("agent-"))]
-    files = frame(spark, [(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p, s) for p, s in listed], "session_key string, size long")
+    files = frame(spark, [(p, s) for p, s in listed], "session_key string, size long")
     if not listed:
         return frame(spark, [], "parent_key string, child_key string, layout string")
     firsts = first_lines(spark, [p for p, _ in listed])

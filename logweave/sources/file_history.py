@@ -30,7 +30,7 @@ def list_blobs(spark: SparkSession, base: str | None = None, session_id: str | N
 def read_blobs(spark: SparkSession, versions: DataFrame, base: str) -> DataFrame:
     """``versions`` with their blob's text as ``content``; null where there is no blob."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*@v*").load(f"{base}/*")
-    text = found.select(F.col("path").alias("blob_path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    text = found.select(F.col("path").alias("blob_path"), F.decode("content", "UTF-8").alias("content"))
     return versions.join(text, "blob_path", "left")
 
 

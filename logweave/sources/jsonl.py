@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.scalars import at, kind_of, strict_json, strict_number, strict_string, trim_all, truthy
+from logweave.functions.scalars import at, file_key, kind_of, strict_json, strict_number, strict_string, trim_all, truthy
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
 
@@ -27,7 +27,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = (
         spark.read.text(paths)
         .select(
-            F.col("_metadata.file_path").alias("session_key"),
+            file_key(F.col("_metadata.file_path")).alias("session_key"),
             F.col("_metadata.file_size").alias("file_size"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("mid"),

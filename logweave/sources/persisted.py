@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.scalars import strict_json, trim_right
+from logweave.functions.scalars import file_key, strict_json, trim_right
 from logweave.sources.jsonl import configure
 
 # Fixed value: the wrapper of such a result; groups are size, path and preview.
@@ -45,4 +45,4 @@ def read_spilled(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file_path, text) of spilled files, whole; the path without a ``file:`` scheme, as wrappers spell it."""
     configure(spark)
     text = spark.read.text(paths, wholetext=True)
-    return text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"), F.col("value").alias("text"))
+    return text.select(F.regexp_replace(file_key(F.col("_metadata.file_path")), "^file:", "").alias("file_path"), F.col("value").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.scalars import at, base_name, dir_name, kind_of, strict_json, strict_string
+from logweave.functions.scalars import at, base_name, dir_name, file_key, kind_of, strict_json, strict_string
 from logweave.sources.files import default_dir, exists, listing
 from logweave.sources.jsonl import configure
 
@@ -78,9 +78,9 @@ def read_tasks(spark: SparkSession, base: str | None = None, session_id: str | N
     if not paths:
         return spark.createDataFrame([], TASK_DDL)
     text = spark.read.option("pathGlobFilter", "*.json").text(paths, wholetext=True)
-    path = F.col("_metadata.file_path")
+    path = file_key(F.col("_metadata.file_path"))
     name = base_name(path)
-    files = text.select(F.url_decode(base_name(dir_name(path))).alias("session_id"), F.url_decode(F.left(name, F.length(name) - 5)).alias("file_stem"), strict_json(F.trim(F.col("value"))).alias("raw"))
+    files = text.select(base_name(dir_name(path)).alias("session_id"), F.left(name, F.length(name) - 5).alias("file_stem"), strict_json(F.trim(F.col("value"))).alias("raw"))
     return valid_tasks(files)
 
 
