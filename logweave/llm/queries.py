@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import licenses, mixing, secrets
+from logweave.llm import licenses, mixing, oracle, secrets
 from logweave.llm.common import read_table
 
 
@@ -81,5 +81,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.oracle_sql(),
     "op3_secrets": secrets.oracle_sql(),
+    "op5_line_dedup": oracle.LINE_DEDUP,
     "op7_mixing": mixing.oracle_sql(),
+    "op8_vptree": oracle.NEAREST,
 }

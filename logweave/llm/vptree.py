@@ -69,6 +69,11 @@ class VPTree:
                 best[q], who[q] = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
             who[~np.isfinite(best)] = -1
 
+        def measured(q: int) -> np.ndarray:
+            """The distances found, summed component by component."""
+            found = self.rows[who[q][who[q] >= 0]]
+            return np.sqrt(np.cumsum((queries[q] - found) ** 2, axis=1)[:, -1]) if len(found) else np.zeros(0)
+
         def visit(node: tuple, on: np.ndarray) -> None:
             if not len(on):
                 return
@@ -89,6 +94,8 @@ class VPTree:
 
         if len(self.ids):
             visit(self.root, np.arange(len(queries)))
+        for q in range(len(queries)):
+            best[q, who[q] >= 0] = measured(q)
         return who, best
 
 
