@@ -15,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.common import written
+
 TARGET_ENTROPY = 0.97
 MAX_REPETITION = 2.0
 BISECTIONS = 50
+BROADCAST_SOURCES = 100_000
+SALTS = 32
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,21 +88,39 @@ def mixing_plan(
     max_repetition: float = MAX_REPETITION,
     budget_tokens: int | None = None,
 ) -> DataFrame:
-    """One row per source: weight, budget, whole passes, and the two thresholds of the part of a pass."""
+    """One row per source: weight, budget, whole passes, and the two thresholds of the part of a pass.
+
+    The part is found in three steps, each among some hundred groups of a source: the group of blocks (the
+    first two digits of their keys) in which the budget ends, the block of it, the document of that.
+    """
     keyed = _keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
     blocks = keyed.groupBy(F.col("__source").alias("source"), F.col("__block_key").alias("block_key")).agg(F.sum("__tokens").alias("tokens"))
-    plan = source_plan(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")), target_entropy, max_repetition, budget_tokens)
-    plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
-    order = Window.partitionBy("source").orderBy("block_key")
-    running = blocks.withColumn("upto", F.sum("tokens").over(order)).join(plan.select("source", "rest"), "source")
-    # the first block that doesn't fit whole, and the room that is left in it
-    cut = running.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min("block_key").alias("cut_block"), F.min(F.struct("block_key", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room")))["room"].alias("room"))
+    blocks = blocks.withColumn("group_key", F.substring("block_key", 1, 2))
+    groups = blocks.groupBy("source", "group_key").agg(F.sum("tokens").alias("tokens"))
+    plan = source_plan(groups.groupBy("source").agg(F.sum("tokens").alias("tokens")), target_entropy, max_repetition, budget_tokens)
+    plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("tokens"))).withColumn("room", F.col("budget") - F.col("passes") * F.col("tokens"))
+    rooms = plan.select("source", "room")
+    in_group = _where_it_ends(groups, rooms, "group_key")
+    inner = blocks.join(in_group.withColumnRenamed("room", "__room"), ["source", "group_key"]).select("source", "block_key", "tokens")
+    in_block = _where_it_ends(inner, in_group.select("source", "room"), "block_key")
     # the documents of that one block per source
-    named = cut.withColumnRenamed("source", "__of")
-    inside = keyed.join(named, (F.col("__source") == F.col("__of")) & (F.col("__block_key") == F.col("cut_block"))).select("__of", "room", "__key", "__tokens")
+    ends = in_block.select(F.col("source").alias("__of"), F.col("block_key").alias("__cut"), "room")
+    inside = keyed.join(ends, (F.col("__source") == F.col("__of")) & (F.col("__block_key") == F.col("__cut"))).select("__of", "room", "__key", "__tokens")
     by_key = Window.partitionBy("__of").orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     taken = inside.withColumn("upto", F.sum("__tokens").over(by_key)).where(F.col("upto") <= F.col("room")).groupBy(F.col("__of").alias("source")).agg(F.max("__key").alias("last_key"))
-    return plan.join(cut.select("source", "cut_block"), "source", "left").join(taken, "source", "left")
+    cut = in_block.select("source", F.col("block_key").alias("cut_block"))
+    return plan.drop("room").join(cut, "source", "left").join(taken, "source", "left")
+
+
+def _where_it_ends(parts: DataFrame, rooms: DataFrame, key: str) -> DataFrame:
+    """(source, key, room): the first part, in order of its key, that the source's room cannot take whole, and the room left for it.
+
+    Where the parts fit exactly there is no row.
+    """
+    order = Window.partitionBy("source").orderBy(key)
+    running = parts.withColumn("upto", F.sum("tokens").over(order)).join(rooms, "source").where(F.col("upto") > F.col("room"))
+    first = running.groupBy("source").agg(F.min(F.struct(F.col(key), (F.col("room") - F.col("upto") + F.col("tokens")).alias("room"))).alias("x"))
+    return first.select("source", "x.*")
 
 
 def mix(
@@ -120,9 +142,15 @@ def mix(
     are decided alike. An empty table stays empty.
     """
     names = [c for c in docs.columns if c not in ("n_tokens", "weight", "copies", "block_key")]
-    plan = mixing_plan(docs, id_col, text_col, source_col, target_entropy, max_repetition, budget_tokens)
+    plan = written(mixing_plan(docs, id_col, text_col, source_col, target_entropy, max_repetition, budget_tokens))
     decided = plan.select(F.col("source").alias("__of"), F.col("weight").alias("__weight"), "passes", "cut_block", "last_key")
-    joined = _keyed(docs.select(*names), id_col, text_col, source_col).join(decided, F.col("__source") == F.col("__of"), "left")
+    keyed = _keyed(docs.select(*names), id_col, text_col, source_col)
+    if plan.count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(decided), F.col("__source") == F.col("__of"), "left")
+    else:  # so many sources meet the documents by a shuffle, in which a hot one is dealt to SALTS parts
+        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
+        spread = decided.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = salted.join(spread.withColumnRenamed("__salt", "__of_salt"), (F.col("__source") == F.col("__of")) & (F.col("__salt") == F.col("__of_salt")), "left")
     part = (F.col("__block_key") < F.col("cut_block")) | ((F.col("__block_key") == F.col("cut_block")) & (F.col("__key") <= F.coalesce("last_key", F.lit(""))))
     copies = F.when(F.col("passes").isNull(), 1).otherwise(F.col("passes") + F.when(part, 1).otherwise(0)).cast("long")
     return joined.select(*names, F.col("__tokens").alias("n_tokens"), F.coalesce("__weight", F.lit(0.0)).alias("weight"), copies.alias("copies"), F.col("__block_key").alias("block_key"))
