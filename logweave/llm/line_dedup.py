@@ -19,6 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logweave.llm.common import mix64, partitions, text_slices
 
@@ -29,6 +31,8 @@ MAX_FILTER_BITS = 1 << 30
 BITS_PER_HASH = 16
 PROBES = 4
 FLUSH_AT = 1_000_000
+COLD_ROWS = 64
+SALTS = 64
 
 SLICE_SCHEMA = pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 FILTER_SCHEMA = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
@@ -162,7 +166,11 @@ class Suspects:
 
 
 def suspected_keys(docs: DataFrame, min_chars: int, max_filter_bits: int) -> DataFrame:
-    """(doc_id, key) of the lines whose key may stand in more than one document."""
+    """(doc_id, key, salt) of the lines whose key may stand in more than one document.
+
+    salt is 0 for the first ``COLD_ROWS`` rows of a key in a task, and then goes round: so a key of fewer rows in
+    all has salt 0 alone, and the rows of a hot one are dealt to ``SALTS`` parts.
+    """
     spark = docs.sparkSession
     rows = (
         docs.select("text")
@@ -177,7 +185,8 @@ def suspected_keys(docs: DataFrame, min_chars: int, max_filter_bits: int) -> Dat
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suspects = Suspects(shared.value)
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("salt", pa.int32())])
+        met: dict[bytes, int] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in text_slices(batch, 1):
@@ -189,9 +198,16 @@ def suspected_keys(docs: DataFrame, min_chars: int, max_filter_bits: int) -> Dat
                 if keys:
                     hit = suspects.test(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)))
                     where = np.flatnonzero(hit)
-                    yield pa.RecordBatch.from_arrays([pa.array([owners[i] for i in where], pa.int64()), pa.array([keys[i] for i in where], pa.binary())], schema=schema)
+                    some = [keys[i] for i in where]
+                    salts = []
+                    for key in some:
+                        n = met[key] = met.get(key, -1) + 1
+                        salts.append(n // COLD_ROWS % SALTS)
+                    yield pa.RecordBatch.from_arrays([pa.array([owners[i] for i in where], pa.int64()), pa.array(some, pa.binary()), pa.array(salts, pa.int32())], schema=schema)
+                if len(met) > FLUSH_AT:
+                    met.clear()
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(probe, "doc_id long, key binary")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(probe, "doc_id long, key binary, salt int")
 
 
 def dedup_lines(
@@ -214,17 +230,16 @@ def dedup_lines(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     suspects = suspected_keys(plain, min_chars, max_filter_bits)
     # a document's own keys are distinct, so only repeated ids make equal rows
-    repeated = suspects.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
-    lost = suspects.join(repeated, "key").where(F.col("doc_id") != F.col("stays")).groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__lost_id")
+    holders = suspects.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
+    repeated = holders.groupBy("key").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
+    salts = F.when(F.col("rows") > COLD_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    lost = suspects.join(repeated.select("key", "stays", F.explode(salts).alias("salt")), ["key", "salt"]).where(F.col("doc_id") != F.col("stays")).groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__lost_id")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*names).join(lost, F.col(id_col).cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
     return _without_lost(joined, text_col, names, min_chars)
 
 
 def _without_lost(joined: DataFrame, text_col: str, names: list[str], min_chars: int) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructField, StructType
-
     fields = [f for f in joined.schema.fields if f.name in names]
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in fields), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     ordered = joined.select(*(f.name for f in fields), "__lost")
