@@ -25,19 +25,23 @@ def strict_json(text: Column) -> Column:
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull() & in_object.isNotNull() & (text != ""), F.try_parse_json(text))
+    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
 def kind_of(value: Column) -> Column:
-    """string, number, boolean, null, object or array; SQL null where there is no value."""
+    """string, number, boolean, null, object or array; SQL null where there is no value.
+
+    Objects and arrays are told by one level of them; only scalars are asked for their schema, as that of a large
+    object is costly.
+    """
     schema = F.schema_of_variant(value)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "object")
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "array")
         .when(schema == "VOID", "null")
         .when(schema == "STRING", "string")
         .when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
         .otherwise("number")
     )
 
@@ -49,7 +53,7 @@ def at(value: Column, path: str) -> Column:
 
 def strict_string(value: Column, path: str = "$") -> Column:
     """The string at a path; null if what is there is not a string."""
-    return F.when(F.schema_of_variant(at(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+    return F.when(kind_of(at(value, path)) == "string", F.try_variant_get(value, path, "string"))
 
 
 def strict_number(value: Column, path: str = "$") -> Column:

@@ -48,7 +48,15 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON, as ``raw`` VARIANT; blank and malformed ones are left out."""
-    return lines.withColumn("raw", strict_json(F.col("line"))).where(F.col("raw").isNotNull()).drop("line")
+    return once(lines, strict_json(F.col("line"))).drop("line")
+
+
+def once(rows: DataFrame, raw: Column) -> DataFrame:
+    """``rows`` with the column ``raw``, without those where it is null.
+
+    The generator keeps later predicates from being moved below the parse, where each would parse again.
+    """
+    return rows.select("*", F.explode(F.array(raw)).alias("raw")).where(F.col("raw").isNotNull())
 
 
 def accepted(raw: Column) -> Column:
@@ -56,34 +64,42 @@ def accepted(raw: Column) -> Column:
     return (kind_of(raw) == "object") & strict_string(raw, "$.type").isNotNull()
 
 
+# Column of an entry and the field it comes from, for texts, flags and numbers of usage.
+TEXTS = {
+    "type": "type", "uuid": "uuid", "parent_uuid": "parentUuid", "session_id": "sessionId", "version": "version",
+    "git_branch": "gitBranch", "cwd": "cwd", "timestamp": "timestamp", "permission_mode": "permissionMode",
+}
+FLAGS = {"is_sidechain": "isSidechain", "is_meta": "isMeta", "is_compact": "isCompactSummary"}
+USAGE = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_tokens": "cache_read_input_tokens", "cache_creation_tokens": "cache_creation_input_tokens"}
+
+
+def fields(value: Column, names: list[str]) -> Column:
+    """The named fields of an object, each as VARIANT, by one pass over it; null where it is no object."""
+    return F.try_variant_get(value, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
+
+
 def canonical(rows: DataFrame) -> DataFrame:
     """Entries: the columns that the operators use, beside ``raw``."""
-    raw = F.col("raw")
-    content = at(raw, "$.message.content")
-    request = at(raw, "$.requestId")
-    usage = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_tokens": "cache_read_input_tokens", "cache_creation_tokens": "cache_creation_input_tokens"}
-    strings = {
-        "type": "type", "uuid": "uuid", "parent_uuid": "parentUuid", "session_id": "sessionId", "version": "version", "git_branch": "gitBranch",
-        "cwd": "cwd", "timestamp": "timestamp", "permission_mode": "permissionMode", "attachment_type": "attachment.type",
-        "model": "message.model", "stop_reason": "message.stop_reason", "content_text": "message.content",
-    }
-    return rows.where(accepted(raw)).select(
-        "session_key",
-        "file_size",
-        "line_no",
-        "nonblank_no",
-        "raw",
-        *(strict_string(raw, f"$.{path}").alias(name) for name, path in strings.items()),
+    place = [F.col(c) for c in ("session_key", "file_size", "line_no", "nonblank_no", "raw")]
+    opened = rows.select(*place, fields(F.col("raw"), [*TEXTS.values(), *FLAGS.values(), "requestId", "toolUseResult", "attachment", "message"]).alias("e"))
+    e, m = F.col("e"), F.col("m")
+    inner = opened.where(strict_string(e["type"]).isNotNull()).select(*place, "e", fields(e["message"], ["model", "stop_reason", "content", "usage"]).alias("m"), strict_string(at(e["attachment"], "$.type")).alias("attachment_type"))
+    request, content = e["requestId"], m["content"]
+    return inner.select(
+        *place,
+        *(strict_string(e[path]).alias(name) for name, path in TEXTS.items()),
+        "attachment_type",
+        strict_string(m["model"]).alias("model"),
+        strict_string(m["stop_reason"]).alias("stop_reason"),
+        strict_string(content).alias("content_text"),
         # any truthy request id groups lines; the kind keeps 5 and "5" apart
         F.when(truthy(request) & ~kind_of(request).isin("object", "array"), F.concat_ws(":", kind_of(request), request.cast("string"))).alias("request_key"),
-        truthy(at(raw, "$.isSidechain")).alias("is_sidechain"),
-        truthy(at(raw, "$.isMeta")).alias("is_meta"),
-        truthy(at(raw, "$.isCompactSummary")).alias("is_compact"),
-        *(strict_number(raw, f"$.message.usage.{path}").alias(name) for name, path in usage.items()),
-        F.when(kind_of(content) == "array", F.try_variant_get(content, "$", "array<variant>")).alias("content_blocks"),
-        at(raw, "$.toolUseResult").alias("tool_use_result"),
-        at(raw, "$.attachment").alias("attachment"),
-        F.unix_millis(F.try_to_timestamp(strict_string(raw, "$.timestamp"))).alias("ts_ms"),
+        *(truthy(e[path]).alias(name) for name, path in FLAGS.items()),
+        *(strict_number(m["usage"], f"$.{path}").alias(name) for name, path in USAGE.items()),
+        F.try_variant_get(content, "$", "array<variant>").alias("content_blocks"),
+        e["toolUseResult"].alias("tool_use_result"),
+        e["attachment"].alias("attachment"),
+        F.unix_millis(F.try_to_timestamp(strict_string(e["timestamp"]))).alias("ts_ms"),
     )
 
 

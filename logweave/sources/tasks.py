@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.scalars import at, base_name, dir_name, file_key, kind_of, strict_json, strict_string
 from logweave.sources.files import default_dir, exists, listing
-from logweave.sources.jsonl import configure
+from logweave.sources.jsonl import configure, once
 
 # Fixed values.
 STATUSES = ["pending", "in_progress", "completed"]
@@ -34,7 +34,7 @@ def _strings(value: Column) -> Column:
 
 def valid_tasks(files: DataFrame) -> DataFrame:
     """Tasks of (session_id, file_stem, raw): those with all required fields of the right kind; optional ones only if they fit."""
-    raw = F.col("raw")
+    raw, files = F.col("raw"), once(files.withColumnRenamed("raw", "__raw"), F.col("__raw"))
     metadata = at(raw, "$.metadata")
     rows = files.select(
         "session_id",
