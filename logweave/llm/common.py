@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS, SMALL_ROWS = 1000, 10_000  # rows of a batch with texts, without
+
 # The white space that separates words in every contract: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -54,6 +56,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow_batches(spark: SparkSession, rows: int) -> None:
+    """From now on the session hands ``rows`` rows at once to Python.
+
+    Batches of whole texts must be small: they lie in the JVM and in the worker at the same time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def id_bucket(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; a null id has no bucket."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))

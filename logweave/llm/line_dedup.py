@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logweave.llm.common import mix64, partitions, text_slices
+from logweave.llm.common import TEXT_ROWS, arrow_batches, mix64, partitions, text_slices
 
 MIN_DOCS = 3
 MIN_CHARS = 20
@@ -172,6 +172,7 @@ def suspected_keys(docs: DataFrame, min_chars: int, max_filter_bits: int) -> Dat
     all has salt 0 alone, and the rows of a hot one are dealt to ``SALTS`` parts.
     """
     spark = docs.sparkSession
+    arrow_batches(spark, TEXT_ROWS)
     rows = (
         docs.select("text")
         .mapInArrow(_hash_rows(min_chars), "slice int, once binary, again binary")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import id_bucket, partitions, text_slices, written
+from logweave.llm.common import TEXT_ROWS, arrow_batches, id_bucket, partitions, text_slices, written
 
 DIM = 64
 NONZERO = 4
@@ -36,7 +36,7 @@ RATE = 3e-3
 DECAY = 1e-4
 CALIBRATION_SHARE = 0.2
 THRESHOLD = 0.3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 SEED = 7
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -58,7 +58,7 @@ def parts(word: str) -> list[str]:
 
 
 def index_vectors(words: list[bytes]) -> np.ndarray:
-    """Per word the sum of its parts' sparse random vectors, brought to length one."""
+    """Per word the sum of its parts' sparse random vectors: small integers."""
     hashes, owners, digest = [], [], xxhash.xxh64_intdigest
     for k, word in enumerate(words):
         found = parts(word.decode("utf-8"))
@@ -70,8 +70,7 @@ def index_vectors(words: list[bytes]) -> np.ndarray:
         part = h >> np.uint64(16 * j)
         where = k * DIM + (part % np.uint64(DIM)).astype(np.int64)
         v += np.bincount(where, weights=np.where(part >> np.uint64(8) & np.uint64(1), 1.0, -1.0), minlength=len(v))
-    v = v.reshape(-1, DIM)
-    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+    return np.clip(v, -127, 127).astype(np.int8).reshape(-1, DIM)
 
 
 class WordVectors:
@@ -84,20 +83,29 @@ class WordVectors:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.rows, self.contexts = np.zeros((1 << 14, DIM), np.float32), np.zeros(1 << 14, np.int32)
+        self.rows = np.zeros((1 << 14, DIM), np.int8)
+        self.scale, self.contexts = np.zeros(1 << 14, np.float32), np.zeros(1 << 14, np.int32)
+
+    def vectors(self, at: np.ndarray) -> np.ndarray:
+        """Index vectors of length one."""
+        return self.rows[at] * self.scale[at][:, None]
 
     def at(self, words: list[bytes]) -> np.ndarray:
-        """Places of the words in ``rows`` and ``contexts``."""
+        """Places of the words in ``rows``, ``scale`` and ``contexts``."""
         if len(self.index) > CACHED_WORDS:
             self.clear()
         out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         fresh = self.index.new
-        while len(self.index) > len(self.rows):
-            self.rows, self.contexts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.contexts))
+        if len(self.index) > len(self.rows):
+            more = len(self.index) - len(self.rows) + (1 << 14)
+            self.rows, self.scale, self.contexts = (np.concatenate([x, np.zeros((more, *x.shape[1:]), x.dtype)]) for x in (self.rows, self.scale, self.contexts))
         for s in range(0, len(fresh), 20_000):
             some = fresh[s : s + 20_000]
             first = len(self.index) - len(fresh) + s
-            self.rows[first : first + len(some)] = index_vectors(some)
+            at = slice(first, first + len(some))
+            self.rows[at] = vectors = index_vectors(some)
+            lengths = np.sqrt((vectors.astype(np.float32) ** 2).sum(axis=1))
+            self.scale[at] = np.where(lengths > 0, 1 / np.maximum(lengths, 1), 0)
             self.contexts[first : first + len(some)] = [self.known.get(w.lower(), 0) for w in some]
         fresh.clear()
         return out
@@ -128,7 +136,7 @@ def features(texts: list[bytes], vectors: WordVectors) -> np.ndarray:
     for k, (a, b) in enumerate(zip(firsts, ends)):
         for s in range(a, b, 1 << 14):
             some = at[s : min(b, s + (1 << 14))]
-            out[k, :DIM] += vectors.rows[some].sum(axis=0, dtype=np.float64)
+            out[k, :DIM] += vectors.scale[some] @ vectors.rows[some].astype(np.float32)
             out[k, DIM : 2 * DIM] += vectors.context[vectors.contexts[some]].sum(axis=0, dtype=np.float64)
         out[k, : 2 * DIM] /= max(1, b - a)
         out[k, -2] = np.count_nonzero(at[a + 1 : b] == at[a : b - 1]) / max(1, b - a)
@@ -221,7 +229,7 @@ def _contexts(words: dict[bytes, int]):
                     found = text.split()
                     own = np.fromiter((words.get(w.lower(), -1) for w in found), np.int64, len(found))
                     at = vectors.at(found)  # may make new rows
-                    v = vectors.rows[at]
+                    v = vectors.vectors(at)
                     around = np.zeros_like(v)
                     around[1:] += v[:-1]
                     around[:-1] += v[1:]
@@ -261,6 +269,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS):
     """(context vectors, network), learnt from labelled rows whose crc32(id) modulo ``modulus`` is not ``held_out``."""
     spark = docs.sparkSession
+    arrow_batches(spark, TEXT_ROWS)
     sample = written(labelled_sample(docs, labels, id_col, text_col, label_col, modulus, held_out, rows))
     word = F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"))
     counted = sample.select(word.alias("w")).where("w != ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
@@ -284,13 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at, texts in text_slices(batch, 0):
                 x = features(texts, vectors)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["x", "y", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["x", "y", "i"])
 
-    got = sorted(sample.select("text", "y", "__id").mapInArrow(featurize, "x binary, y int, i long").collect(), key=lambda r: (r["i"], bytes(r["x"])))
-    y = np.array([r["y"] for r in got], np.float64)
+    got = sample.select("text", "y", "__id").mapInArrow(featurize, "x binary, y int, i long").toArrow()  # rows times WIDTH numbers
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    order = np.lexsort((x[:, 0], x[:, -1], np.asarray(got.column("i"))))  # the same at every run
+    x, y = x[order].astype(np.float64), np.asarray(got.column("y")).astype(np.float64)[order]
     if not 0 < y.sum() < len(y):
         return shared, Constant(y)
-    return shared, Network(np.stack([np.frombuffer(bytes(r["x"]), np.float64) for r in got]), y)
+    return shared, Network(x, y)
 
 
 def score_quality(

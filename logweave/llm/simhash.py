@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import drop_written, partitions, text_slices, written
+from logweave.llm.common import SMALL_ROWS, TEXT_ROWS, arrow_batches, drop_written, partitions, text_slices, written
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(prints)], schema=PRINT_SCHEMA)
 
+    arrow_batches(docs.sparkSession, TEXT_ROWS)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -145,6 +146,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column fp) that keep every component of the radius whole."""
     n = partitions(distinct.sparkSession)
+    arrow_batches(distinct.sparkSession, SMALL_ROWS)
     # dealt anew: few bytes come in, about 130 times as many rows go out
     met = distinct.select("fp").repartition(n, "fp").mapInArrow(_emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
     return met.mapInArrow(_bucket_links, "a long, b long").distinct()
