@@ -15,7 +15,6 @@ the ``FREQUENT`` most frequent are scored from a broadcast table; the others mee
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import id_bucket, mix64, partitions, text_slices, written
+from logweave.llm.common import TEXT_ROWS, arrow_batches, id_bucket, mix64, partitions, text_slices, written
 
 END = b"\n"
 SEED = 42
@@ -43,6 +42,18 @@ SLICES = 4096
 SLICE_SHIFT = np.uint64(64 - 12)
 
 
+class WordIndex(dict):
+    """Numbers of words in the order they come; ``new`` notes those that have come since it was cleared."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class WordHashes(dict):
     """Hashes of words (XXH64), with a bounded memory."""
 
@@ -269,31 +280,30 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = WordIndex()
         self.hashes, self.counts, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self) -> None:
+        """Hashes and counts of the words that are new."""
+        words, known = self.index.new, self.model.frequent.get
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        known = self.model.frequent.get
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.hashes = np.concatenate([self.hashes, hashes])
         self.counts = np.concatenate([self.counts, self.table.count(hashes, 1)])
         self.exact = np.concatenate([self.exact, np.fromiter((known(w, 0) for w in words), np.int64, len(words))])
+        words.clear()
 
     def run(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, known tokens and base score of frequent words, model score; and the rare words with their text's number and count."""
+        """Per text: tokens, known tokens and base score of frequent words, model score; and (texts, words, counts) of the rare words."""
         words, ends = [], []
         for text in texts:
             words += text.lower().split()
             words.append(END)
             ends.append(len(words))
-        fresh = [w for w in set(words) if w not in self.index]
-        if len(self.index) + len(fresh) > CACHED_WORDS and self.index:
+        if len(self.index) > CACHED_WORDS:
             self.clear()
-            fresh = list(set(words))
-        if fresh:
-            self.learn(fresh)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self.learn()
         ends = np.array(ends)
         firsts = np.concatenate([[0], ends[:-1]])
         doc = np.repeat(np.arange(len(texts)), ends - firsts)
@@ -310,7 +320,13 @@ class Scorer:
         seen = exact > 0
         n = len(texts)
         base = np.bincount(doc, weights=np.where(seen, np.log10((exact + 1) / self.room), 0.0), minlength=n)
-        rare = Counter(zip(doc[~seen].tolist(), [words[k] for k in np.flatnonzero(~seen)]))
+        # rare words by (text, word), counted by their numbers
+        some = ~seen
+        places, times = np.unique(doc[some] * len(self.index) + at[some], return_counts=True)
+        firsts_of = np.full(len(self.index), -1)
+        firsts_of[at] = np.arange(len(at))
+        owners, numbers = np.divmod(places, len(self.index))
+        rare = owners, [words[k] for k in firsts_of[numbers].tolist()], times
         return ends - firsts, np.bincount(doc, weights=seen, minlength=n).astype(np.int64), base, np.bincount(doc, weights=np.log10(p), minlength=n), rare
 
 
@@ -336,6 +352,7 @@ def score_documents(
     read. An empty table gives none; without training documents every count is 0.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    arrow_batches(spark, TEXT_ROWS)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(id_bucket(F.col(id_col), modulus) == held_out, F.lit(False)).alias("held_out"))
     training = plain.where(~F.col("held_out")).select("text")
 
@@ -371,14 +388,14 @@ def score_documents(
             scorer = scorer or model.value.scorer()
             for at, texts in text_slices(batch, 1):
                 sizes, known, base, total, rare = scorer.run(texts)
-                m, k = len(texts), len(rare)
+                owners, rare_words, times = rare
+                m, k = len(texts), len(rare_words)
                 uid = np.arange(row, row + m)
                 row += m
                 words = [b" %d" % u for u in uid]  # no word: it has a space; so these rows spread and match nothing
                 yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(words, pa.binary()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total)], schema=SCORED)
                 if k:
-                    owner = uid[np.fromiter((d for d, _ in rare), np.int64, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], schema=SCORED)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[owners]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(rare_words, pa.binary()), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], schema=SCORED)
 
     scored = plain.select("doc_id", "text", "held_out").mapInArrow(score, SCORED_DDL).join(counts, "word", "left")
     own = F.col("score").isNotNull()
@@ -389,7 +406,3 @@ def score_documents(
         .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum(F.when(own, F.col("n"))).alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score"))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
     )
-
-
-def perplexity(score: float, tokens: int) -> float:
-    return math.pow(10, -score / max(tokens, 1))
