@@ -162,6 +162,12 @@ def skills(listings: DataFrame) -> DataFrame:
     return first.select("session_key", F.transform(named, lambda x: trim_all(F.substring(x, F.lit(1), F.instr(x, ": ") - 1))).alias("names"))
 
 
+def unused_skills(listed: DataFrame, calls: DataFrame) -> DataFrame:
+    """(session_key, name) of listed skills (names, an array) that no tool call of the session names."""
+    names = listed.select("session_key", F.explode("names").alias("name"))
+    return names.join(calls.select("session_key", "name"), ["session_key", "name"], "left_anti")
+
+
 def skill_listings(entries: DataFrame) -> DataFrame:
     return entries.where((F.col("type") == "attachment") & (F.col("attachment_type") == "skill_listing")).select("session_key", "line_no", F.coalesce(strict_string(F.col("attachment"), "$.content"), F.lit("")).alias("content"))
 

@@ -440,7 +440,7 @@ def q39_drift_count(spark, sf_dir):
 @query(f"with {_SKILLS} select session_key, name from s where not exists (select 1 from documents d where d.doc_id % 2 = 0 and d.source = s.session_key and d.lang = s.name)")
 def q40_skills_unused(spark, sf_dir):
     used = A.table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0).select(F.col("source").alias("session_key"), F.col("lang").alias("name"))
-    return _skill_rows(spark, sf_dir).select("session_key", "name").join(used, ["session_key", "name"], "left_anti")
+    return derive.unused_skills(derive.skills(_listings(spark, sf_dir)), used)
 
 
 @query(f"with x as (select doc_id, chr(65279) || chr(9) || ' ' || text || chr(160) || chr(8232) || chr(11) as s from documents) select doc_id, md5({TRIMMED.format(x='s')}) as digest from x")
