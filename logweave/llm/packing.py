@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import text_slices
+from logweave.llm.common import TEXT_ROWS, arrow_batches, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -30,7 +30,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 21
 LINEAR = 1.0
 QUADRATIC = 1.0 / 4096
-CACHED_WORDS = 1_000_000
+CACHED_WORDS, KEPT_WORDS = 1_000_000, 250_000  # within a task, from one to the next
 WORD_END = "</w>"
 SIGNS = b".,;:!?*%$&#"
 #: A special token may begin, or a combining mark (with which lower-casing and composing don't commute).
@@ -255,6 +255,8 @@ def pack_documents(
     documents of their own. Other columns of ``docs`` are not read. An empty table gives no pieces.
     """
 
+    arrow_batches(docs.sparkSession, TEXT_ROWS)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokenizer(tokenizer_path, end_id)
         packer = Packer(capacity, block_tokens, linear, quadratic, TaskContext.get().partitionId() << 40)
@@ -266,6 +268,8 @@ def pack_documents(
                     done += packer.add(ids[at + k], doc)
                 for k in range(0, len(done), 2000):
                     yield _record(done[k : k + 2000])
+        if len(tokens.index) > KEPT_WORDS:
+            tokens.clear()
         done = packer.finish()
         for k in range(0, len(done), 2000):
             yield _record(done[k : k + 2000])
