@@ -35,10 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table stays for the plans that read it and is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
