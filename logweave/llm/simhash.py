@@ -7,14 +7,17 @@ emits, for each erased block, all variants within one bit (half of the two that
 meet by a shuffle, and pairs that meet are verified on all 64 bits. The plain ball of the radius two that
 three bits would need without erasing has 2081 variants per fingerprint; this has about 130, and misses none.
 
-Fingerprints that meet are not turned into all pairs: each bucket gives a spanning forest of its verified
-links at most, so a bucket of n fingerprints gives fewer than n rows. Components are then found by rounds of
+Fingerprints that meet are not turned into all pairs: a bucket gives a spanning forest of its verified links,
+and one of more than ``WIDE`` fingerprints a row for each to the least of its component there, found by rules that
+take about linear time. Components are then found by rounds of
 joins on fingerprints (large-star, small-star), each round written to the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 BLOCKS = 3
 SEED = 42
+WIDE = 256  # larger buckets are linked by rules, not by rows of distances
 
 PRINT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -109,6 +113,68 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
+@cache
+def _flips(width: int, most: int) -> np.ndarray:
+    """All words of ``width`` bits with 1 to ``most`` of them set."""
+    return np.array([sum(1 << b for b in bits) for n in range(1, most + 1) for bits in combinations(range(width), n)], np.uint64)
+
+
+def _neighbours(values: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """Positions (i, j) of sorted distinct values that differ by one of the flips, each pair once."""
+    found = []
+    for k in range(0, len(values), 1000):
+        wanted = values[k : k + 1000, None] ^ flips
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        i, j = np.nonzero((values[at] == wanted) & (wanted > values[k : k + 1000, None]))
+        found.append(np.stack([i + k, at[i, j]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def wide_links(prints: np.ndarray, key: int, blocks: int = BLOCKS) -> np.ndarray:
+    """Links (a, b) of a large bucket, in about linear time; ``prints`` are sorted and distinct.
+
+    All members are within one bit of the key outside of the erased block, so two of them differ by two bits
+    there at most. Equal erased blocks therefore link, and so do those that differ by one bit. Blocks that
+    differ by two bits with one at most outside, or none, meet in the bucket of another block, where this rule
+    holds. What is left is two or three bits in the block and none outside: members that equal the key
+    outside are looked up by all such flips.
+    """
+    links = []
+    for number, mask in enumerate(block_masks(blocks)):  # the erased block, which holds its number
+        shift = np.uint64((mask & -mask).bit_length() - 1)
+        base = np.uint64(key & ~mask & (2**64 - 1))
+        outside = (prints & np.uint64(~mask & (2**64 - 1))) ^ base
+        if (key & mask) >> int(shift) != number or (np.bitwise_count(outside) > 1).any():
+            continue
+        width = mask.bit_count()
+        erased = (prints & np.uint64(mask)) >> shift
+        order = np.argsort(erased, kind="stable")
+        erased, members = erased[order], prints[order]
+        first = np.flatnonzero(np.concatenate([[True], erased[1:] != erased[:-1]]))
+        sizes = np.diff(np.append(first, len(erased)))
+        links.append(np.stack([np.repeat(members[first], sizes), members], axis=1))
+        links.append(members[first][_neighbours(erased[first], _flips(width, 1))])
+        exact = np.sort(erased[(members & np.uint64(~mask & (2**64 - 1))) == base])
+        links.append((exact[_neighbours(exact, _flips(width, RADIUS))] << shift) | base)
+    out = np.concatenate(links)
+    return out[out[:, 0] != out[:, 1]]
+
+
+def rooted(prints: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The components of a bucket as (least member, member): fewer rows than members, however many links."""
+    i, j = np.searchsorted(prints, links[:, 0]), np.searchsorted(prints, links[:, 1])
+    root = np.arange(len(prints))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == before).all():
+            break
+    child = np.flatnonzero(root != np.arange(len(prints)))
+    return np.stack([prints[root[child]], prints[child]], axis=1)
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket of equal keys; the rows come sorted by key."""
     held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -122,6 +188,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found_a, found_b = [a[near]], [b[near]]
         for k in np.flatnonzero(ends - starts > 2):
             group = np.unique(prints[starts[k] : ends[k]])
+            if len(group) > WIDE:
+                pairs = rooted(group, wide_links(group, int(keys[starts[k]]) % 2**64))
+                found_a.append(pairs[:, 0])
+                found_b.append(pairs[:, 1])
+                continue
             pairs = np.array(forest(group), np.int64).reshape(-1, 2)
             found_a.append(group[pairs[:, 0]])
             found_b.append(group[pairs[:, 1]])
@@ -144,11 +215,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (column fp) that keep every component of the radius whole."""
+    """Pairs (a, b) of distinct fingerprints (column fp) whose components are those of all links within the radius."""
     n = partitions(distinct.sparkSession)
     arrow_batches(distinct.sparkSession, SMALL_ROWS)
-    # dealt anew: few bytes come in, about 130 times as many rows go out
-    met = distinct.select("fp").repartition(n, "fp").mapInArrow(_emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+    # dealt anew (by another key, else the planner leaves it out): few bytes come in, about 130 times as many rows go out
+    met = distinct.select("fp").repartition(n, F.xxhash64("fp")).mapInArrow(_emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
     return met.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 

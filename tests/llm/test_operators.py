@@ -516,6 +516,41 @@ def test_simhash_links_lose_nothing(spark):
     assert len({found[p] for p in found}) == sum(len(m) > 1 for m in groups.values())
 
 
+def test_simhash_wide_buckets_keep_components():
+    from logweave.llm import simhash
+
+    rng = random.Random(21)
+    for case in range(6):
+        center, prints = rng.getrandbits(64), set()
+        block = simhash.block_masks()[case % 3]
+        inside = [b for b in range(64) if block >> b & 1]
+        for _ in range(220):
+            bits = rng.sample(inside, rng.randint(0, 4)) + rng.sample(range(64), rng.randint(0, 2))
+            prints.add(center ^ sum(1 << b for b in set(bits)))
+        keys = defaultdict(set)
+        for p in prints:
+            for found in simhash.variants(np.array([p], np.uint64)):
+                for key in found[0].tolist():
+                    keys[key].add(p)
+        links = set()
+        for key, members in keys.items():
+            if len(members) > 1:
+                got = simhash.wide_links(np.array(sorted(members), np.uint64), key)
+                links |= {(int(a), int(b)) for a, b in got}
+        assert all((a ^ b).bit_count() <= 3 and a in prints and b in prints for a, b in links)
+        root = {p: p for p in prints}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b in links:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        assert {p: find(p) for p in prints} == components_by_brute_force({p: p for p in prints})
+
+
 def test_simhash_edges(spark):
     from logweave.llm.simhash import drop_near_duplicates, near_duplicates
 
