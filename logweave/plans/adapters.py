@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.sources.jsonl import once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,7 +83,7 @@ def event_json(rows: DataFrame) -> DataFrame:
     extra = F.when(odd & (k % 10 == 0), ',"extra":{"deep":[{"n":1},null]}').when(~odd & (k % 10 == 0), ',"old":null').otherwise("")
     number = F.when(odd & (k % 7 == 0), ',"size":"big"').otherwise(',"size":1')
     text = json_text('{"type":"', F.col("event_type"), '","user":{"id":', F.col("user_id"), '},"tags":[', k, ',"a",null]', opt, extra, number, "}")
-    return rows.select(F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("line_no"), "k", F.parse_json(text).alias("raw"))
+    return once(rows.select(F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("line_no"), "k", text.alias("text")), F.parse_json("text")).drop("text")
 
 
 def event_log_lines(rows: DataFrame) -> DataFrame:
@@ -93,4 +95,5 @@ def event_log_lines(rows: DataFrame) -> DataFrame:
     entry = F.when(kind == "click", "assistant").when(kind == "view", "user").when(kind == "error", "attachment").when(kind == "purchase", "file-history-snapshot").otherwise("system")
     body = F.when(kind.isin("click", "view"), message).when((kind == "error") & (k % 4 == 0), ',"attachment":{"type":"other"}').when((kind == "purchase") & (k % 4 > 0), ',"snapshot":{}').otherwise("")
     text = json_text('{"type":"', entry, '"', body, "}")
-    return rows.select(F.col("user_id").cast("string").alias("session_key"), F.lit(0).cast("bigint").alias("file_size"), F.col("event_id").alias("line_no"), F.col("event_id").alias("nonblank_no"), F.parse_json(text).alias("raw"))
+    lines = rows.select(F.col("user_id").cast("string").alias("session_key"), F.lit(0).cast("bigint").alias("file_size"), F.col("event_id").alias("line_no"), F.col("event_id").alias("nonblank_no"), text.alias("text"))
+    return once(lines, F.parse_json("text")).drop("text")
