@@ -1,13 +1,18 @@
 """Operator 4: language-model scores from a log-frequency Bloom filter.
 
 1. Words of the training documents are counted exactly (counts of each task, then a shuffle by word).
-2. Pairs of neighbours are counted by 64-bit hashes, each task sending on its own sums by slices of the hash.
-3. A count c becomes the level 1 + floor(log2 c). A filter holds each n-gram once per level up to its own
-   (Talbot and Osborne, 2007), so a count is read by probing level after level until one is missing. What a
-   level stands for is the mean count of its n-grams. The filter takes ``BITS_PER_ENTRY`` bits per entry, and
-   ``MAX_FILTER_BITS`` at most: beyond that the rarest levels of pairs are left out, then of words, by exact
-   histograms. So it is safe to broadcast at any size of the corpus.
-4. Every document is scored where it is read: interpolated probabilities of a word after its neighbour.
+2. Every text becomes numbers of words where it is read, in chunks of about ``CHUNK_TOKENS`` tokens, written to
+   the shared folder.
+3. A chunk sends the 64-bit hashes of its distinct words and pairs of neighbours, with their counts in training
+   texts, by slices of the hash. So all of an n-gram meets in one task, which sums the counts of its slice.
+4. A count c becomes the level 1 + floor(log2 c). The filter of the slice holds each n-gram once per level up to
+   its own (Talbot and Osborne, 2007) in ``BITS_PER_ENTRY`` bits per entry, so a count is read by probing level
+   after level until one is missing. The slice probes for all chunks that asked and sends the levels back.
+   What a level stands for is the mean count of its n-grams, by exact histograms.
+5. A chunk meets its levels and scores its documents: interpolated probabilities of a word after its neighbour.
+
+The filter grows with the n-grams: a slice is a ``SLICES``-th of it and never leaves its task, so nothing is
+left out at any size of the corpus, and nothing of the filter is broadcast.
 
 The exact unigram base needs exact counts of rare words too, and those have no bound. Words that are among
 the ``FREQUENT`` most frequent are scored from a broadcast table; the others meet their counts in a join.
@@ -31,12 +36,12 @@ END = b"\n"
 SEED = 42
 FREQUENT = 150_000
 MIN_PAIR_COUNT = 2
-MAX_FILTER_BITS = 1 << 29
 BITS_PER_ENTRY = 12
 PROBES = 4
 WEIGHT = 0.3
 CACHED_WORDS = 400_000
-PAIRS_HELD = 3_000_000
+CHUNK_TOKENS = 1_000_000
+CHUNK_ROWS = 16  # chunks of a batch
 START_HASH = 0x9E3779B97F4A7C15
 SLICES = 4096
 SLICE_SHIFT = np.uint64(64 - 12)
@@ -54,19 +59,10 @@ class WordIndex(dict):
         return k
 
 
-class WordHashes(dict):
-    """Hashes of words (XXH64), with a bounded memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, SEED)
-        if len(self) < CACHED_WORDS:
-            self[word] = value
-        return value
-
-
-def pair_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of (word before, word) for the words of one document; the first follows a start mark."""
-    before = np.concatenate([np.array([START_HASH], np.uint64), hashes[:-1]])
+def pair_hashes(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Hashes of (word before, word) for the words of documents in a row; those at ``firsts`` follow a start mark."""
+    before = np.concatenate([[np.uint64(START_HASH)], hashes[:-1]])
+    before[firsts] = np.uint64(START_HASH)
     return mix64(before * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1) + hashes)
 
 
@@ -101,41 +97,136 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-PACKED = pa.schema([("slice", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, sums of their counts, position of each hash among them)."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    where = np.empty(len(hashes), np.int64)
+    where[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], np.add.reduceat(counts[order], first), where
 
 
-def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    parts = slices_of(hashes)
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([hashes[p].tobytes() for _, p in parts], pa.binary()), pa.array([counts[p].tobytes() for _, p in parts], pa.binary())], schema=PACKED)
+CODED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("training", pa.binary()), ("hashes", pa.binary())])
+CODED_DDL = "uid long, doc_id long, held_out boolean, word binary, n long, known long, base double, chunk long, tokens binary, sizes binary, training binary, hashes binary"
+CHUNK = ["uid", "chunk", "tokens", "sizes", "training", "hashes"]
 
 
-def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return hashes[first], np.add.reduceat(counts, first)
+def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, n = WordHashes(), [], 0
+class Coder:
+    """Texts as numbers of words, a chunk at a time, and what the unigram base needs of them."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield _packed(hashes, counts.astype(np.uint32))
+    def __init__(self, frequent: dict[bytes, int], room: float):
+        self.frequent, self.room = frequent, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = WordIndex()
+        self.hashes, self.exact = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.training: list[np.ndarray] = []
+        self.n = 0
+
+    def learn(self) -> None:
+        """Hashes and counts of the words that are new."""
+        words, known = self.index.new, self.frequent.get
+        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))])
+        self.exact = np.concatenate([self.exact, np.fromiter((known(w, 0) for w in words), np.int64, len(words))])
+        words.clear()
+
+    def run(self, texts: list[bytes], training: np.ndarray) -> tuple:
+        """Per text: tokens, known tokens and base score of frequent words; and (texts, words, counts) of the rare words."""
+        words, ends = [], []
+        for text in texts:
+            words += text.lower().split()
+            words.append(END)
+            ends.append(len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self.learn()
+        sizes, n = np.diff(ends, prepend=0), len(texts)
+        doc = np.repeat(np.arange(n), sizes)
+        self.tokens.append(at.astype(np.uint32))
+        self.sizes.append(sizes.astype(np.uint32))
+        self.training.append(training)
+        self.n += len(at)
+        exact = self.exact[at]
+        seen = exact > 0
+        base = np.bincount(doc, weights=np.where(seen, np.log10((exact + 1) / self.room), 0.0), minlength=n)
+        # rare words by (text, word), counted by their numbers
+        some = ~seen
+        places, times = np.unique(doc[some] * len(self.index) + at[some], return_counts=True)
+        firsts_of = np.full(len(self.index), -1)
+        firsts_of[at] = np.arange(len(at))
+        owners, numbers = np.divmod(places, len(self.index))
+        return sizes, np.bincount(doc, weights=seen, minlength=n).astype(np.int64), base, (owners, [words[k] for k in firsts_of[numbers].tolist()], times)
 
+    def chunk(self, number: int, uid: int) -> pa.RecordBatch:
+        """The chunk as a row; ``uid`` is that of its first text."""
+        parts = [np.concatenate(x).tobytes() for x in (self.tokens, self.sizes, self.training)]
+        return _rows(CODED, 1, uid=[uid], chunk=[number], tokens=parts[:1], sizes=parts[1:2], training=parts[2:], hashes=[self.hashes.tobytes()])
+
+
+def _coder(model, chunk_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
+        uid = first = number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            coder = coder or Coder(*model.value)
+            for at, texts in text_slices(batch, 1):
+                m = len(texts)
+                held = batch.column(2).slice(at, m)
+                sizes, known, base, (owners, rare, times) = coder.run(texts, ~np.asarray(held).astype(bool))
+                uids = np.arange(uid, uid + m)
+                uid += m
+                words = [b" %d" % u for u in uids]  # no word: it has a space; so these rows spread and match nothing
+                yield _rows(CODED, m, uid=uids, doc_id=batch.column(0).slice(at, m), held_out=held, word=words, n=sizes, known=known, base=base)
+                if rare:
+                    yield _rows(CODED, len(rare), uid=uids[owners], word=rare, n=times)
+                if coder.n >= chunk_tokens:
+                    yield coder.chunk(number, first)
+                    coder.clear()
+                    first, number = uid, number + 1
+        if coder and coder.n:
+            yield coder.chunk(number, first)
+
+    return run
+
+
+class Chunk:
+    """The arrays of a chunk's row, and the hashes of its words and pairs."""
+
+    def __init__(self, tokens: bytes, sizes: bytes, training: bytes, hashes: bytes):
+        self.tokens, self.sizes, self.training, self.words = np.frombuffer(tokens, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(training, bool), np.frombuffer(hashes, np.uint64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.pairs = pair_hashes(self.words[self.tokens], self.firsts)
+
+
+ASKED = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
+ASKED_DDL = "slice int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every chunk the distinct n-grams of each slice, in order, with their counts in training texts."""
+    edges = np.arange(1, SLICES, dtype=np.uint64) << SLICE_SHIFT
     for batch in batches:
-        for _, texts in text_slices(batch, 0):
-            for text in texts:
-                words = text.lower().split()
-                words.append(END)
-                held.append(pair_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
-                n += len(words)
-            if n >= PAIRS_HELD:
-                yield from flush()
-                n = 0
-    yield from flush()
+        for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            chunk = Chunk(*row)
+            trained = np.repeat(chunk.training, chunk.sizes)
+            cuts, columns = [], []
+            for hashes, counts in ((chunk.words, np.bincount(chunk.tokens[trained], minlength=len(chunk.words))), (chunk.pairs, trained)):
+                h, c, _ = summed(hashes, counts.astype(np.uint32))
+                cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+                cuts.append(cut)
+                columns += [(h.tobytes(), cut * 8), (c.astype(np.uint32).tobytes(), cut * 4)]
+            some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+            parts = [[data[a:b] for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())] for data, cut in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number)), *(pa.array(p, pa.binary()) for p in parts)], schema=ASKED)
 
 
 def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
@@ -152,48 +243,49 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield number, rows
 
 
-def _add_pairs(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in _by_slice(batches):
-            hashes, counts = summed(np.concatenate([np.frombuffer(h, np.uint64) for h, _ in rows]), np.concatenate([np.frombuffer(c, np.uint32) for _, c in rows]).astype(np.int64))
-            kept = counts >= least
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([hashes[kept].tobytes()], pa.binary()), pa.array([counts[kept].tobytes()], pa.binary())], schema=PACKED)
-
-    return run
+TOLD = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())])
+TOLD_DDL = "chunk long, slice int, words binary, pairs binary, `order` int, level int, n long, total long"
 
 
-def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _tell(least: int):
+    """Per slice: the levels of the n-grams of each chunk, in the order asked, and the histograms of the levels. Pairs of fewer than ``least`` count as unseen."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            hashes, counts = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order = np.argsort(hashes)
-            yield _packed(hashes[order], counts[order])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in _by_slice(batches):
+            asked = []
+            for column in (1, 3):
+                parts = [np.frombuffer(row[column], np.uint64) for row in rows]
+                h, c, where = summed(np.concatenate(parts), np.concatenate([np.frombuffer(row[column + 1], np.uint32) for row in rows]).astype(np.int64)) if any(map(len, parts)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                asked.append((h, c, where, np.cumsum([len(p) for p in parts])[:-1]))
+            held = [(h[c >= at_least], c[c >= at_least]) for (h, c, _, _), at_least in zip(asked, (1, least))]
+            q = [levels(c).astype(np.int64) for _, c in held]
+            mask = np.zeros(max(64, BITS_PER_ENTRY * sum(int(x.sum()) for x in q)), bool)
+            for order, (h, c) in enumerate(held):
+                fill(mask, h, q[order])
+                n, total = np.bincount(q[order], minlength=65), np.bincount(q[order], weights=c, minlength=65).astype(np.int64)
+                some = np.flatnonzero(n)
+                yield _rows(TOLD, len(some), order=np.full(len(some), order + 1), level=some, n=n[some], total=total[some])
+            bits = np.packbits(mask, bitorder="little")
+            told = []
+            for h, _, where, cuts in asked:
+                found = probe(bits, np.zeros(len(h), np.int64), len(mask), h).astype(np.uint8)
+                told.append([p.tobytes() for p in np.split(found[where], cuts)])
+            yield _rows(TOLD, len(rows), chunk=[row[0] for row in rows], slice=np.full(len(rows), k), words=told[0], pairs=told[1])
 
-    for batch in batches:
-        held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))))
-        if sum(len(x) for x, _ in held) >= PAIRS_HELD:
-            yield from flush()
-    yield from flush()
+    return run
 
 
-def _level_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = np.zeros(65, np.int64), np.zeros(65, np.int64)
-    for batch in batches:
-        for counts in batch.column(0).to_pylist():
-            c = np.frombuffer(counts, np.int64)
-            q = levels(c)
-            n += np.bincount(q, minlength=65)
-            total += np.bincount(q, weights=c, minlength=65).astype(np.int64)
-    q = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(n[q]), pa.array(total[q])], names=["level", "n", "total"])
+def level_values(histogram: dict[int, tuple[int, int]], least: int = 1) -> np.ndarray:
+    """What each level from ``least`` on (as 1) stands for."""
+    value = np.zeros(66)
+    for level, (n, total) in histogram.items():
+        if level >= least:
+            value[level - least + 1] = total / n
+    return np.maximum.accumulate(value)  # a level that is empty stands for the one below
 
 
 class Plan:
-    """Which levels of which order the filter holds, its size, and what a level stands for."""
+    """For a filter in one piece of bounded size: which levels it holds, and what a level stands for. Scores don't use it."""
 
     def __init__(self, histograms: dict[int, dict[int, tuple[int, int]]], max_bits: int):
         self.least = {order: min(h, default=1) for order, h in histograms.items()}
@@ -202,40 +294,58 @@ class Plan:
             self.least[order] += 1
         need = max(64 * SLICES, self.entries(histograms) * BITS_PER_ENTRY)
         self.slice_bits = min(max_bits, need) // SLICES
-        self.value = {order: np.zeros(66) for order in histograms}
+        self.value = {}
         for order, h in histograms.items():
-            for level, (n, total) in h.items():
-                if level >= self.least[order]:
-                    self.value[order][level - self.least[order] + 1] = total / n
-            best = np.maximum.accumulate(self.value[order])  # a level that is empty stands for the one below
-            self.value[order] = best
+            self.value[order] = level_values(h, self.least[order])
 
     def entries(self, histograms: dict) -> int:
         return sum(n * (level - self.least[order] + 1) for order, h in histograms.items() for level, (n, _) in h.items() if level >= self.least[order])
 
 
-def _places(hashes: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     a = mix64(hashes + np.uint64((level * 0x9E3779B97F4A7C15) % 2**64))
     return a, (a >> np.uint64(32)) | np.uint64(1)
 
 
+def fill(mask: np.ndarray, hashes: np.ndarray, q: np.ndarray) -> None:
+    """Set the bits of all levels of the hashes, up to ``q`` of each."""
+    bits = np.uint64(len(mask))
+    for level in range(1, int(q.max(initial=0)) + 1):
+        a, b = _places(hashes[q >= level], level)
+        for j in range(PROBES):
+            mask[((a + b * np.uint64(j)) % bits).astype(np.int64)] = True
+
+
+def probe(filled: np.ndarray, base: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """The levels of the hashes in the filter of ``bits`` bits that begins at ``base`` of each; 0 if it has none."""
+    level, left, bits = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), np.uint64(bits)
+    for q in range(1, 65):
+        if not len(left):
+            break
+        a, b = _places(hashes[left], q)
+        for j in range(PROBES):
+            where = ((a + b * np.uint64(j)) % bits).astype(np.int64)
+            hit = (filled[base[left] + (where >> 3)] >> (where & 7).astype(np.uint8)) & 1 > 0
+            left, a, b = left[hit], a[hit], b[hit]
+            if not len(left):
+                break
+        level[left] = q
+    return level
+
+
 def _fill_slices(least: dict[int, int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows in _by_slice(batches):
             mask = np.zeros(bits, bool)
             for order, hashes, counts in rows:
-                h, q = np.frombuffer(hashes, np.uint64), levels(np.frombuffer(counts, np.int64)).astype(np.int64) - least[order] + 1
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    a, b = _places(h[q >= level], level, bits)
-                    for j in range(PROBES):
-                        mask[((a + b * np.uint64(j)) % np.uint64(bits)).astype(np.int64)] = True
+                fill(mask, np.frombuffer(hashes, np.uint64), levels(np.frombuffer(counts, np.int64)).astype(np.int64) - least[order] + 1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
 
     return run
 
 
 class LogFrequencyFilter:
-    """Counts of n-grams by membership probes."""
+    """Counts of n-grams by membership probes, for a filter in one piece."""
 
     def __init__(self, bits: int, slices: dict[int, bytes], value: dict[int, np.ndarray]):
         self.bits, self.value, stride = bits, value, -(-bits // 8)
@@ -245,93 +355,33 @@ class LogFrequencyFilter:
 
     def count(self, hashes: np.ndarray, order: int) -> np.ndarray:
         """Estimated counts, 0 for n-grams that the filter doesn't hold."""
-        level = np.zeros(len(hashes), np.int64)
-        left = np.arange(len(hashes))
-        base = (hashes >> SLICE_SHIFT).astype(np.int64) * self.stride
-        bits = np.uint64(self.bits)
-        for q in range(1, 65):
-            if not len(left):
-                break
-            a, b = _places(hashes[left], q, self.bits)
-            for j in range(PROBES):
-                where = ((a + b * np.uint64(j)) % bits).astype(np.int64)
-                hit = (self.bytes[base[left] + (where >> 3)] >> (where & 7).astype(np.uint8)) & 1 > 0
-                left, a, b = left[hit], a[hit], b[hit]
-                if not len(left):
-                    break
-            level[left] = q
-        return self.value[order][level]
+        return self.value[order][probe(self.bytes, (hashes >> SLICE_SHIFT).astype(np.int64) * self.stride, self.bits, hashes)]
 
 
-class Model:
-    """What the scoring tasks need; of bounded size."""
+TOLD_CHUNK = ["chunk", "slice", "uid", "tokens", "sizes", "training", "hashes", "words", "pairs"]
 
-    def __init__(self, bits: int, slices: dict[int, bytes], value: dict[int, np.ndarray], frequent: dict[bytes, int], tokens: int, types: int, starts: int, weight: float):
-        self.parts = (bits, slices, value)
-        self.frequent, self.tokens, self.types, self.starts, self.weight = frequent, tokens, types, starts, weight
 
-    def scorer(self) -> Scorer:
-        return Scorer(self, LogFrequencyFilter(*self.parts))
-
-
-class Scorer:
-    def __init__(self, model: Model, table: LogFrequencyFilter):
-        self.model, self.table, self.room = model, table, 1.0 * (model.tokens + model.types + 1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index = WordIndex()
-        self.hashes, self.counts, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
-
-    def learn(self) -> None:
-        """Hashes and counts of the words that are new."""
-        words, known = self.index.new, self.model.frequent.get
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.counts = np.concatenate([self.counts, self.table.count(hashes, 1)])
-        self.exact = np.concatenate([self.exact, np.fromiter((known(w, 0) for w in words), np.int64, len(words))])
-        words.clear()
+def _score(value: dict[int, np.ndarray], room: float, starts: int, weight: float):
+    """Scores of the documents of each chunk; the rows come sorted by chunk, that of the chunk before its levels."""
 
-    def run(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, known tokens and base score of frequent words, model score; and (texts, words, counts) of the rare words."""
-        words, ends = [], []
-        for text in texts:
-            words += text.lower().split()
-            words.append(END)
-            ends.append(len(words))
-        if len(self.index) > CACHED_WORDS:
-            self.clear()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            self.learn()
-        ends = np.array(ends)
-        firsts = np.concatenate([[0], ends[:-1]])
-        doc = np.repeat(np.arange(len(texts)), ends - firsts)
-        h = self.hashes[at]
-        before = np.concatenate([[np.uint64(START_HASH)], h[:-1]])
-        before[firsts] = np.uint64(START_HASH)
-        context = np.concatenate([[0.0], self.counts[at][:-1]])
-        context[firsts] = self.model.starts
-        pair = np.minimum(self.table.count(mix64(before * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1) + h), 2), context)
-        single = (self.counts[at] + 1) / self.room
-        weight = np.where(context > 0, self.model.weight, 0.0)
-        p = weight * pair / np.maximum(context, 1) + (1 - weight) * single
-        exact = self.exact[at]
-        seen = exact > 0
-        n = len(texts)
-        base = np.bincount(doc, weights=np.where(seen, np.log10((exact + 1) / self.room), 0.0), minlength=n)
-        # rare words by (text, word), counted by their numbers
-        some = ~seen
-        places, times = np.unique(doc[some] * len(self.index) + at[some], return_counts=True)
-        firsts_of = np.full(len(self.index), -1)
-        firsts_of[at] = np.arange(len(at))
-        owners, numbers = np.divmod(places, len(self.index))
-        rare = owners, [words[k] for k in firsts_of[numbers].tolist()], times
-        return ends - firsts, np.bincount(doc, weights=seen, minlength=n).astype(np.int64), base, np.bincount(doc, weights=np.log10(p), minlength=n), rare
+    def scores(rows: list[list]) -> pa.RecordBatch:
+        (_, uid, *row, _, _), told = rows[0], rows[1:]
+        chunk = Chunk(*row)
+        words, pairs = (np.frombuffer(b"".join(r[k] for r in told), np.uint8) for k in (-2, -1))
+        count = value[1][words][np.unique(chunk.words, return_inverse=True)[1]][chunk.tokens]
+        context = np.concatenate([[0.0], count[:-1]])
+        context[chunk.firsts] = starts
+        pair = np.minimum(value[2][pairs][np.unique(chunk.pairs, return_inverse=True)[1]], context)
+        share = np.where(context > 0, weight, 0.0)
+        p = share * pair / np.maximum(context, 1) + (1 - share) * (count + 1) / room
+        n = len(chunk.sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), pa.array(np.add.reduceat(np.log10(p), chunk.firsts))], names=["uid", "score"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_slice(batches):  # here by chunk
+            yield scores(rows)
 
-SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-SCORED_DDL = "uid long, doc_id long, held_out boolean, word binary, n long, known long, base double, score double"
+    return run
 
 
 def score_documents(
@@ -341,13 +391,15 @@ def score_documents(
     modulus: int = 7,
     held_out: int = 2,
     frequent: int = FREQUENT,
-    max_filter_bits: int = MAX_FILTER_BITS,
     weight: float = WEIGHT,
+    least_pairs: int = MIN_PAIR_COUNT,
+    chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
     """Score every document with a model of those whose crc32(id) modulo ``modulus`` is not ``held_out``.
 
     Returns per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams, exact
-    counts) and score (log10 probability by the filter's model). Null and empty texts are the end alone. A
+    counts) and score (log10 probability by the filter's model, in
+    which pairs of fewer than ``least_pairs`` count as unseen; the query keeps all, with 1). Null and empty texts are the end alone. A
     null id has no bucket: its text is trained on. Rows that repeat an id stay rows. Other columns are not
     read. An empty table gives none; without training documents every count is 0.
     """
@@ -369,37 +421,26 @@ def score_documents(
     common = {} if cut is None else {bytes(r["word"]): r["c"] for r in counts.where(octave >= cut).collect()}  # ``frequent`` rows at most
     starts = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
-    pairs = written(training.mapInArrow(_count_pairs, "slice int, hashes binary, counts binary").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_add_pairs(MIN_PAIR_COUNT), "slice int, hashes binary, counts binary"))
-    singles = counts.select(F.xxhash64("word").alias("h"), "c").mapInArrow(_pack_words, "slice int, hashes binary, counts binary")
-    histograms = {
-        2: {r["level"]: (r["n"], r["total"]) for r in pairs.select("counts").mapInArrow(_level_sums, "level int, n long, total long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()},
-        1: {r["level"]: (r["n"], r["total"]) for r in counts.groupBy((F.floor(F.log2("c")) + 1).cast("int").alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("total")).collect()},
-    }
-    plan = Plan(histograms, max_filter_bits)
-    entries = singles.select("slice", F.lit(1).alias("order"), "hashes", "counts").union(pairs.select("slice", F.lit(2), "hashes", "counts"))
-    filled = entries.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_fill_slices(plan.least, plan.slice_bits), "slice int, bits binary")
-    slices = {r["slice"]: bytes(r["bits"]) for r in filled.collect()}  # max_filter_bits in all at most
-    model = spark.sparkContext.broadcast(Model(plan.slice_bits, slices, plan.value, common, tokens, types, starts, weight))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            scorer = scorer or model.value.scorer()
-            for at, texts in text_slices(batch, 1):
-                sizes, known, base, total, rare = scorer.run(texts)
-                owners, rare_words, times = rare
-                m, k = len(texts), len(rare_words)
-                uid = np.arange(row, row + m)
-                row += m
-                words = [b" %d" % u for u in uid]  # no word: it has a space; so these rows spread and match nothing
-                yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(words, pa.binary()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total)], schema=SCORED)
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[owners]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(rare_words, pa.binary()), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], schema=SCORED)
-
-    scored = plain.select("doc_id", "text", "held_out").mapInArrow(score, SCORED_DDL).join(counts, "word", "left")
-    own = F.col("score").isNotNull()
-    base = F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(1.0 * (tokens + types + 1))))
+    room = 1.0 * (tokens + types + 1)
+    model = spark.sparkContext.broadcast((common, room))
+    coded = written(plain.select("doc_id", "text", "held_out").mapInArrow(_coder(model, chunk_tokens), CODED_DDL))
+    chunks = coded.where(F.col("chunk").isNotNull()).select(CHUNK)
+
+    arrow_batches(spark, CHUNK_ROWS)
+    asked = chunks.drop("uid").mapInArrow(_ask, ASKED_DDL).repartition(n, "slice").sortWithinPartitions("slice")
+    told = written(asked.mapInArrow(_tell(least_pairs), TOLD_DDL))
+    histograms = {1: {}, 2: {}}
+    for r in told.where(F.col("chunk").isNull()).groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        histograms[r["order"]][r["level"]] = r["n"], r["total"]
+    value = {order: level_values(h) for order, h in histograms.items()}
+
+    meet = chunks.withColumn("slice", F.lit(-1)).unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", "slice", "words", "pairs"), allowMissingColumns=True)
+    arrow_batches(spark, TEXT_ROWS)
+    scores = meet.select(TOLD_CHUNK).repartition(n, "chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_score(value, room, starts, weight), "uid long, score double")
+
+    scored = coded.where(F.col("chunk").isNull()).select("uid", "doc_id", "held_out", "word", "n", "known", "base").join(counts, "word", "left").unionByName(scores, allowMissingColumns=True)
+    own = F.col("base").isNotNull()
+    base = F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(room)))
     known = F.when(own, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("n")).otherwise(0))
     return (
         scored.groupBy("uid")

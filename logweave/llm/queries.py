@@ -30,7 +30,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.lm import score_documents
 
-    return score_documents(read_table(spark, sf_dir, "documents"))
+    return score_documents(read_table(spark, sf_dir, "documents"), least_pairs=1)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,40 @@ def test_lm(spark, docs, rows):
         assert got[i]["score"] == pytest.approx(exact, rel=0.08)
 
 
+def test_lm_query_counts_pairs_seen_once(spark, tmp_path):
+    from logweave.llm.lm import score_documents
+    from logweave.llm.queries import QUERIES
+
+    texts = {k: " ".join(f"w{(j * (k + 1)) % 50}" for j in range(40)) + f" only{k} once{k}" for k in range(40)}
+    tokens = {i: t.encode().split() + [b"\n"] for i, t in texts.items()}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts = Counter(w for i in train for w in tokens[i])
+    pairs = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i]))
+    assert sum(c == 1 for c in pairs.values()) > 50
+    value = {}
+    for order, of in ((1, counts), (2, pairs)):
+        for level in {c.bit_length() for c in of.values()}:
+            same = [c for c in of.values() if c.bit_length() == level]
+            value[order, level] = sum(same) / len(same)
+    room = sum(counts.values()) + len(counts) + 1
+    rounded = lambda order, c: value[order, c.bit_length()] if c else 0.0
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_lm_scores"](spark, str(tmp_path)).collect()}
+    small = {r["doc_id"]: r["score"] for r in score_documents(df, least_pairs=1, chunk_tokens=200).collect()}
+    assert small == pytest.approx(got)  # however the texts fall into chunks
+    near = 0
+    for i in texts:
+        exact = 0.0
+        for a, b in zip([None, *tokens[i]], tokens[i]):
+            c = len(train) if a is None else rounded(1, counts[a])
+            w = 0.3 if c else 0.0
+            exact += math.log10(w * min(rounded(2, pairs[a, b]), c) / max(c, 1) + (1 - w) * (rounded(1, counts[b]) + 1) / room)
+        near += abs(got[i] - exact) < 1e-6
+    assert near > 0.3 * len(texts)  # the filter errs upwards here and there
+    assert got.keys() == texts.keys()
+
+
 def test_lm_edges(spark):
     from logweave.llm.lm import score_documents
 
