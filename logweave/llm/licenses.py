@@ -74,6 +74,7 @@ RULES = [
 ]
 BORDER = r"[.!?;:]+[\x20\x09-\x0D]+|\n"
 PARAGRAPH_BORDER = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
+LIST_NUMBER = "^[0-9]{1,2}$"  # what a border leaves of '1. Redistributions ...'; no sentence of its own
 
 
 def normalised(sentence: str) -> str:
@@ -88,9 +89,9 @@ def known_sentences() -> dict[str, int]:
 
 
 def _sequence(sentences: Column, table: Column) -> Column:
-    """``<id><id>...`` of the sentences; empty ones are left out, and a run of unknown ones is one ``<0>``."""
+    """``<id><id>...`` of the sentences; empty ones and numbers of lists are left out, and a run of unknown ones is one ``<0>``."""
     words = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, r"[^A-Za-z0-9]+", " ")), "^ +| +$", "")))
-    found = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit("<"), F.coalesce(F.element_at(table, w), F.lit(0)).cast("string"), F.lit(">")))
+    found = F.transform(F.filter(words, lambda w: (w != "") & ~w.rlike(LIST_NUMBER)), lambda w: F.concat(F.lit("<"), F.coalesce(F.element_at(table, w), F.lit(0)).cast("string"), F.lit(">")))
     return F.regexp_replace(F.array_join(found, ""), "(<0>)+", "<0>")
 
 

@@ -138,6 +138,20 @@ def test_licenses(spark):
     assert scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_numbered_bsd(spark):
+    from logweave.llm.licenses import SENTENCES, scan_licenses
+
+    known = dict(SENTENCES)
+    two = f"{known[50]}:\n\n1. {known[51]}.\n2. {known[52]}.\n"
+    three = two + f"3. {known[53]}.\n"
+    wrap = lambda text: re.sub(r"(.{40}\S*) ", r"\1\n   ", text)
+    broken = f"{known[50]}:\n\n1. {known[51]}.\nSomething else.\n2. {known[52]}.\n"
+    texts = [two, three, wrap(two), wrap(three), broken, two.replace("1.", "2024.")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(df).collect()}
+    assert got == {0: ["BSD-2-Clause"], 1: ["BSD-3-Clause"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: [], 5: []}
+
+
 # ---- secrets
 
 
