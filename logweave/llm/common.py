@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 TEXT_ROWS, SMALL_ROWS = 1000, 10_000  # rows of a batch with texts, without
 
@@ -57,6 +59,51 @@ def drop_written(df: DataFrame) -> None:
         break
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression spells it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` by name, but for those named (in any case)."""
+    gone = {c.lower() for c in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as make it no column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame, made: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(docs)`` with the columns of ``docs`` alone; those that ``run`` would replace (named in ``made``) come back as they were."""
+    clash = [c for c in docs.columns if c.lower() in {m.lower() for m in made}]
+    other = dict(zip(clash, free_names(docs, *(f"{c}_" for c in clash))))
+    out = run(docs.toDF(*(other.get(c, c) for c in docs.columns)))
+    return out.select(*(F.col(quoted(other.get(c, c))).alias(c) for c in docs.columns))
+
+
+def map_rows(df: DataFrame, run, fields: list[StructField]) -> DataFrame:
+    """``df.mapInArrow(run)`` with the result's fields, whatever signs the names hold: ``run`` meets numbered columns.
+
+    What it yields are arrays in the order of the fields.
+    """
+    schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(numbered, schema).toDF(*(f.name for f in fields))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,10 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from logweave.llm.common import TEXT_ROWS, arrow_batches, mix64, partitions, text_slices
+from logweave.llm.common import TEXT_ROWS, arrow_batches, columns_of, free_names, map_rows, mix64, partitions, quoted, text_slices
 
 MIN_DOCS = 3
 MIN_CHARS = 20
@@ -228,26 +227,24 @@ def dedup_lines(
     """
     if min_docs < 2:
         raise ValueError("min_docs is 2 at least")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    own_lost, lost_id = free_names(docs, "lost", "lost_id")
     suspects = suspected_keys(plain, min_chars, max_filter_bits)
     # a document's own keys are distinct, so only repeated ids make equal rows
     holders = suspects.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
     repeated = holders.groupBy("key").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
     salts = F.when(F.col("rows") > COLD_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    lost = suspects.join(repeated.select("key", "stays", F.explode(salts).alias("salt")), ["key", "salt"]).where(F.col("doc_id") != F.col("stays")).groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__lost_id")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names).join(lost, F.col(id_col).cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
-    return _without_lost(joined, text_col, names, min_chars)
+    lost = suspects.join(repeated.select("key", "stays", F.explode(salts).alias("salt")), ["key", "salt"]).where(F.col("doc_id") != F.col("stays")).groupBy("doc_id").agg(F.collect_set("key").alias(own_lost)).withColumnRenamed("doc_id", lost_id)
+    kept = docs.select(*columns_of(docs, "n_lines", "n_dropped"))
+    joined = kept.join(lost, F.col(quoted(id_col)).cast("long") == F.col(lost_id), "left").select(*columns_of(kept), F.col(own_lost))
+    return _without_lost(joined, text_col, kept.schema.fields, min_chars)
 
 
-def _without_lost(joined: DataFrame, text_col: str, names: list[str], min_chars: int) -> DataFrame:
-    fields = [f for f in joined.schema.fields if f.name in names]
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in fields), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    ordered = joined.select(*(f.name for f in fields), "__lost")
-    where = [f.name for f in fields].index(text_col)
+def _without_lost(joined: DataFrame, text_col: str, fields: list[StructField], min_chars: int) -> DataFrame:
+    """``joined`` has the fields, and the lost keys as its last column."""
+    where = [f.name.lower() for f in fields].index(text_col.lower())
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema)
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             lost = batch.column(len(fields)).to_pylist()
             for at, texts in text_slices(batch, where, 8 << 20):
@@ -263,10 +260,10 @@ def _without_lost(joined: DataFrame, text_col: str, names: list[str], min_chars:
                     dropped.append(before[-1] - len(lines))
                 columns = [c.slice(at, len(texts)) for c in batch.columns[: len(fields)]]
                 columns[where] = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, arrow)), pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], schema=arrow)
+                yield [*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())]
 
-    return ordered.mapInArrow(drop, schema)
+    return map_rows(joined, drop, [*fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
 def kept_digest(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return deduped.select(F.col(id_col).alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col(text_col).cast("binary"), 256).alias("kept_sha256"))
+    return deduped.select(F.col(quoted(id_col)).alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col(quoted(text_col)).cast("binary"), 256).alias("kept_sha256"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import written
+from logweave.llm.common import columns_of, free_names, quoted, written
 
 TARGET_ENTROPY = 0.97
 MAX_REPETITION = 2.0
@@ -30,18 +30,15 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with the source, token count, document key, block and block key that the decisions use."""
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string")).cast("binary"))
-    source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    own = docs.select("*", source.alias("__source"), n_words(F.col(text_col)).alias("__tokens"), key.alias("__key"))
-    block = F.substring("__key", 1, 4)
-    return own.withColumn("__block", block).withColumn("__block_key", F.md5(F.concat_ws(":", "__source", "__block").cast("binary")))
+def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """The source, token count, document key, block and block key that the decisions use, from a row's columns."""
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col(quoted(id_col)).cast("string")).cast("binary"))
+    source = F.coalesce(F.concat(F.lit("="), F.col(quoted(source_col))), F.lit("null"))
+    return {"source": source, "tokens": n_words(F.col(quoted(text_col))), "key": key}
 
 
-def _weights(shares: Column, exponent: Column) -> Column:
-    powers = F.transform(shares, lambda p: F.pow(p, exponent))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+def block_key(source: str, key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.col(source), F.substring(key, 1, 4)).cast("binary"))
 
 
 def _bisect(holds) -> Column:
@@ -50,33 +47,43 @@ def _bisect(holds) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda x, step: F.when(holds(x + step), x + step).otherwise(x))
 
 
-def _entropy(weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0.0), lambda s, w: s - F.when(w > 0, w * F.ln(w)).otherwise(0.0))
+def _entropy(sizes: Column, exponent: Column) -> Column:
+    """Entropy of the weights p**a / S in one pass: ln S - a / S * sum of p**a ln p. Each size p stands for n sources."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("l"))
 
+    def add(state: Column, x: Column) -> Column:
+        return F.struct((state["s"] + x["n"] * F.pow(x["p"], exponent)).alias("s"), (state["l"] + x["n"] * F.pow(x["p"], exponent) * F.ln(x["p"])).alias("l"))
 
-def _repetition(shares: Column, exponent: Column) -> Column:
+    return F.aggregate(sizes, start, add, lambda state: F.ln(state["s"]) - exponent * state["l"] / state["s"])
+
+
+def _repetition(sizes: Column, exponent: Column) -> Column:
     """The most passes over a source when each source is passed over once at least: p**a / p, over its least."""
-    rates = F.transform(shares, lambda p: F.pow(p, exponent - 1.0))
+    rates = F.transform(sizes, lambda x: F.pow(x["p"], exponent - 1.0))
     return F.array_max(rates) / F.array_min(rates)
 
 
 def source_plan(totals: DataFrame, target_entropy: float, max_repetition: float, budget_tokens: int | None) -> DataFrame:
     """(source, tokens, exponent, weight, budget) from (source, tokens).
 
-    There is one row per source, so they are gathered into one array (some tens of bytes each).
+    The exponent depends on how many sources there are of each size only. These sizes are gathered into one
+    array: d of them need d (d + 1) / 2 tokens at least, so they are few however many sources there are.
     """
-    listed = totals.where(F.col("tokens") > 0).agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s")).where(F.size("s") > 0)
-    whole = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    shared = listed.select("s", whole.alias("whole")).select("s", "whole", F.transform("s", lambda x: x["tokens"] / F.col("whole")).alias("p"))
-    goal = F.lit(target_entropy) * F.ln(F.size("s"))
-    by_entropy = _bisect(lambda x: _entropy(_weights(F.col("p"), x)) >= goal)
-    by_repetition = F.lit(1.0) - _bisect(lambda y: _repetition(F.col("p"), F.lit(1.0) - y) <= max_repetition)
-    chosen = shared.select("s", "whole", "p", by_entropy.alias("e"), by_repetition.alias("r")).select("s", "whole", "p", F.greatest("e", "r").alias("exponent"))
-    weighed = chosen.select("s", "p", "whole", "exponent", _weights(F.col("p"), F.col("exponent")).alias("w"))
-    all_once = F.array_max(F.transform(F.arrays_zip("p", "w"), lambda x: x["p"] / x["w"])) * F.col("whole")
+    sized = totals.where(F.col("tokens") > 0)
+    by_size = sized.groupBy("tokens").agg(F.count("*").alias("n"))
+    listed = by_size.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("c"), F.sum(F.col("tokens") * F.col("n")).cast("long").alias("whole"), F.sum("n").alias("sources"))
+    shared = listed.select("whole", "sources", F.transform("c", lambda x: F.struct((x["tokens"] / F.col("whole")).alias("p"), x["n"].alias("n"))).alias("c"))
+    goal = F.lit(target_entropy) * F.ln(F.col("sources"))
+    by_entropy = _bisect(lambda x: _entropy(F.col("c"), x) >= goal)
+    by_repetition = F.lit(1.0) - _bisect(lambda y: _repetition(F.col("c"), F.lit(1.0) - y) <= max_repetition)
+    chosen = shared.select("whole", "c", F.greatest(by_entropy, by_repetition).alias("a"))
+    summed = chosen.select("whole", "c", "a", F.aggregate("c", F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["p"], F.col("a"))).alias("sum"))
+    # p / w = p ** (1 - a) * S: the budget that takes the source of the least passes once
+    all_once = F.array_max(F.transform("c", lambda x: F.pow(x["p"], 1.0 - F.col("a")))) * F.col("sum") * F.col("whole")
     budget = all_once if budget_tokens is None else F.lit(float(budget_tokens))
-    rows = weighed.select("exponent", budget.alias("b"), F.explode(F.arrays_zip("s", "w")).alias("x"))
-    return rows.select(F.col("x.s.source").alias("source"), F.col("x.s.tokens").alias("tokens"), "exponent", F.col("x.w").alias("weight"), F.round(F.col("x.w") * F.col("b")).cast("long").alias("budget"))
+    one = summed.select(F.struct("whole", "a", "sum", budget.alias("b")).alias("one")).scalar()
+    weighed = sized.select("source", "tokens", one.alias("x")).select("source", "tokens", "x.a", "x.b", (F.pow(F.col("tokens") / F.col("x.whole"), F.col("x.a")) / F.col("x.sum")).alias("weight"))
+    return weighed.select("source", "tokens", F.col("a").alias("exponent"), "weight", F.round(F.col("weight") * F.col("b")).cast("long").alias("budget"))
 
 
 def mixing_plan(
@@ -93,21 +100,21 @@ def mixing_plan(
     The part is found in three steps, each among some hundred groups of a source: the group of blocks (the
     first two digits of their keys) in which the budget ends, the block of it, the document of that.
     """
-    keyed = _keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
-    blocks = keyed.groupBy(F.col("__source").alias("source"), F.col("__block_key").alias("block_key")).agg(F.sum("__tokens").alias("tokens"))
+    keyed = docs.select(*(c.alias(n) for n, c in _keys(id_col, text_col, source_col).items())).withColumn("block_key", block_key("source", "key"))
+    blocks = keyed.groupBy("source", "block_key").agg(F.sum("tokens").alias("tokens"))
     blocks = blocks.withColumn("group_key", F.substring("block_key", 1, 2))
     groups = blocks.groupBy("source", "group_key").agg(F.sum("tokens").alias("tokens"))
     plan = source_plan(groups.groupBy("source").agg(F.sum("tokens").alias("tokens")), target_entropy, max_repetition, budget_tokens)
     plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("tokens"))).withColumn("room", F.col("budget") - F.col("passes") * F.col("tokens"))
     rooms = plan.select("source", "room")
     in_group = _where_it_ends(groups, rooms, "group_key")
-    inner = blocks.join(in_group.withColumnRenamed("room", "__room"), ["source", "group_key"]).select("source", "block_key", "tokens")
+    inner = blocks.join(in_group.select("source", "group_key"), ["source", "group_key"]).select("source", "block_key", "tokens")
     in_block = _where_it_ends(inner, in_group.select("source", "room"), "block_key")
-    # the documents of that one block per source
-    ends = in_block.select(F.col("source").alias("__of"), F.col("block_key").alias("__cut"), "room")
-    inside = keyed.join(ends, (F.col("__source") == F.col("__of")) & (F.col("__block_key") == F.col("__cut"))).select("__of", "room", "__key", "__tokens")
-    by_key = Window.partitionBy("__of").orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = inside.withColumn("upto", F.sum("__tokens").over(by_key)).where(F.col("upto") <= F.col("room")).groupBy(F.col("__of").alias("source")).agg(F.max("__key").alias("last_key"))
+    # the documents of that one block per source; equal keys (repeated or null ids) are summed before they meet
+    by_key = keyed.groupBy("source", "block_key", "key").agg(F.sum("tokens").alias("tokens"))
+    inside = by_key.join(in_block, ["source", "block_key"])
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key"))
+    taken = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("source").agg(F.max("key").alias("last_key"))
     cut = in_block.select("source", F.col("block_key").alias("cut_block"))
     return plan.drop("room").join(cut, "source", "left").join(taken, "source", "left")
 
@@ -141,24 +148,28 @@ def mix(
     go in once per pass. Sources without any tokens keep each row once and have weight 0. Rows that repeat an id
     are decided alike. An empty table stays empty.
     """
-    names = [c for c in docs.columns if c not in ("n_tokens", "weight", "copies", "block_key")]
+    kept = columns_of(docs, "n_tokens", "weight", "copies", "block_key")
     plan = written(mixing_plan(docs, id_col, text_col, source_col, target_entropy, max_repetition, budget_tokens))
-    decided = plan.select(F.col("source").alias("__of"), F.col("weight").alias("__weight"), "passes", "cut_block", "last_key")
-    keyed = _keyed(docs.select(*names), id_col, text_col, source_col)
+    source, tokens, key, block = free_names(docs, "source_key", "tokens", "key", "block")
+    of, weight, passes, cut_block, last_key, salt, of_salt = free_names(docs, "of", "source_weight", "passes", "cut_block", "last_key", "salt", "of_salt")
+    decided = plan.select(F.col("source").alias(of), F.col("weight").alias(weight), F.col("passes").alias(passes), F.col("cut_block").alias(cut_block), F.col("last_key").alias(last_key))
+    made = _keys(id_col, text_col, source_col)
+    keyed = docs.select("*", *(c.alias(n) for n, c in zip((source, tokens, key), made.values()))).withColumn(block, block_key(source, key))
     if plan.count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(decided), F.col("__source") == F.col("__of"), "left")
+        joined = keyed.join(F.broadcast(decided), F.col(source) == F.col(of), "left")
     else:  # so many sources meet the documents by a shuffle, in which a hot one is dealt to SALTS parts
-        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
-        spread = decided.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        joined = salted.join(spread.withColumnRenamed("__salt", "__of_salt"), (F.col("__source") == F.col("__of")) & (F.col("__salt") == F.col("__of_salt")), "left")
-    part = (F.col("__block_key") < F.col("cut_block")) | ((F.col("__block_key") == F.col("cut_block")) & (F.col("__key") <= F.coalesce("last_key", F.lit(""))))
-    copies = F.when(F.col("passes").isNull(), 1).otherwise(F.col("passes") + F.when(part, 1).otherwise(0)).cast("long")
-    return joined.select(*names, F.col("__tokens").alias("n_tokens"), F.coalesce("__weight", F.lit(0.0)).alias("weight"), copies.alias("copies"), F.col("__block_key").alias("block_key"))
+        salted = keyed.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        spread = decided.withColumn(of_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = salted.join(spread, (F.col(source) == F.col(of)) & (F.col(salt) == F.col(of_salt)), "left")
+    part = (F.col(block) < F.col(cut_block)) | ((F.col(block) == F.col(cut_block)) & (F.col(key) <= F.coalesce(last_key, F.lit(""))))
+    copies = F.when(F.col(passes).isNull(), 1).otherwise(F.col(passes) + F.when(part, 1).otherwise(0)).cast("long")
+    return joined.select(*kept, F.col(tokens).alias("n_tokens"), F.coalesce(weight, F.lit(0.0)).alias("weight"), copies.alias("copies"), F.col(block).alias("block_key"))
 
 
 def realised(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixture itself: each row ``copies`` times."""
-    return mixed.where(F.col("copies") > 0).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    (turn,) = free_names(mixed, "turn")
+    return mixed.where(F.col("copies") > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*map(quoted, columns))
 
 
 def digest(mixed: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from logweave.llm.common import TEXT_ROWS, arrow_batches, id_bucket, partitions, text_slices, written
+from logweave.llm.common import TEXT_ROWS, arrow_batches, columns_of, id_bucket, map_rows, partitions, quoted, text_slices, written
 
 DIM = 64
 NONZERO = 4
@@ -322,21 +323,18 @@ def score_quality(
     are left aside; of repeated ones the larger holds. Without both labels every score is the share of label
     1 (a half without any). Repeated rows get equal scores; an empty table stays empty.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     context, model = fit(docs, labels, id_col, text_col, label_col, modulus, held_out, rows)
     network = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    plain = docs.select(*names)
-    where = names.index(text_col)
-    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    plain = docs.select(*columns_of(docs, "held_out", "score", "predicted"))
+    where = [c.lower() for c in plain.columns].index(text_col.lower())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         vectors = WordVectors(context.value)
         for batch in batches:
             for at, texts in text_slices(batch, where):
                 score = network.value.predict(features(texts, vectors))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns), pa.array(score)], names=[*names, "score"])
+                yield [*(c.slice(at, len(texts)) for c in batch.columns), pa.array(score)]
 
-    held = F.coalesce(id_bucket(F.col(id_col), modulus) == held_out, F.lit(False))
-    return plain.mapInArrow(run, schema).withColumn("held_out", held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    held = F.coalesce(id_bucket(F.col(quoted(id_col)), modulus) == held_out, F.lit(False))
+    scored = map_rows(plain, run, [*plain.schema.fields, StructField("score", DoubleType())])
+    return scored.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -25,15 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SMALL_ROWS, TEXT_ROWS, arrow_batches, drop_written, partitions, text_slices, written
+from logweave.llm.common import SMALL_ROWS, TEXT_ROWS, arrow_batches, columns_of, drop_written, free_names, partitions, quoted, text_slices, written
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 BLOCKS = 3
 SEED = 42
+NUMBER_SHIFT = 60  # where a key has the number of its block
 WIDE = 256  # larger buckets are linked by rules, not by rows of distances
 
-PRINT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -60,17 +60,24 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. Null texts count as empty.
+
+    ``with_hash`` adds text_hash, the XXH64 of the text (null as empty).
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *([("text_hash", pa.int64())] if with_hash else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(prints)], schema=PRINT_SCHEMA)
+                more = [batch.column(2).slice(at, len(texts))] if with_hash else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(prints), *more], schema=schema)
 
     arrow_batches(docs.sparkSession, TEXT_ROWS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(quoted(text_col))
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")] if with_hash else []))
+    return plain.mapInArrow(run, "doc_id long, fp long" + ", text_hash long" * with_hash)
 
 
 def block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -79,13 +86,22 @@ def block_masks(blocks: int = BLOCKS) -> list[int]:
     return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
 
 
+def _erased(prints: np.ndarray, mask: int) -> np.ndarray:
+    """The bits outside of a block, moved together."""
+    low = np.uint64((mask & -mask).bit_length() - 1)
+    high, below = np.uint64(mask.bit_length()), np.uint64((mask & -mask) - 1)
+    above = prints >> high if int(high) < 64 else np.zeros_like(prints)
+    return (prints & below) | (above << low)
+
+
 def variants(prints: np.ndarray, blocks: int = BLOCKS) -> Iterator[np.ndarray]:
-    """Per erased block an array of (prints x variants) keys; the erased bits hold the number of the block."""
+    """Per erased block an array of (prints x variants) keys: the number of the block on top, the bits that are left below.
+
+    So keys of different blocks never meet (64 bits less a block leave room for the number).
+    """
     for number, mask in enumerate(block_masks(blocks)):
-        low = (mask & -mask).bit_length() - 1
-        base = (prints & np.uint64(~mask & (2**64 - 1))) | np.uint64(number << low)
-        flips = np.array([0, *(1 << k for k in range(64) if not mask >> k & 1)], np.uint64)
-        yield base[:, None] ^ flips
+        flips = np.array([0, *(1 << k for k in range(64 - mask.bit_count()))], np.uint64)
+        yield (_erased(prints, mask)[:, None] ^ flips) | np.uint64(number << NUMBER_SHIFT)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,24 +155,19 @@ def wide_links(prints: np.ndarray, key: int, blocks: int = BLOCKS) -> np.ndarray
     holds. What is left is two or three bits in the block and none outside: members that equal the key
     outside are looked up by all such flips.
     """
-    links = []
-    for number, mask in enumerate(block_masks(blocks)):  # the erased block, which holds its number
-        shift = np.uint64((mask & -mask).bit_length() - 1)
-        base = np.uint64(key & ~mask & (2**64 - 1))
-        outside = (prints & np.uint64(~mask & (2**64 - 1))) ^ base
-        if (key & mask) >> int(shift) != number or (np.bitwise_count(outside) > 1).any():
-            continue
-        width = mask.bit_count()
-        erased = (prints & np.uint64(mask)) >> shift
-        order = np.argsort(erased, kind="stable")
-        erased, members = erased[order], prints[order]
-        first = np.flatnonzero(np.concatenate([[True], erased[1:] != erased[:-1]]))
-        sizes = np.diff(np.append(first, len(erased)))
-        links.append(np.stack([np.repeat(members[first], sizes), members], axis=1))
-        links.append(members[first][_neighbours(erased[first], _flips(width, 1))])
-        exact = np.sort(erased[(members & np.uint64(~mask & (2**64 - 1))) == base])
-        links.append((exact[_neighbours(exact, _flips(width, RADIUS))] << shift) | base)
-    out = np.concatenate(links)
+    mask = block_masks(blocks)[key >> NUMBER_SHIFT]
+    rest = np.uint64(key & ((1 << NUMBER_SHIFT) - 1))
+    shift, width = np.uint64((mask & -mask).bit_length() - 1), mask.bit_count()
+    block = (prints & np.uint64(mask)) >> shift
+    order = np.argsort(block, kind="stable")
+    block, members = block[order], prints[order]
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    sizes = np.diff(np.append(first, len(block)))
+    same = np.stack([np.repeat(members[first], sizes), members], axis=1)
+    near = members[first][_neighbours(block[first], _flips(width, 1))]
+    exact = _erased(members, mask) == rest  # blocks of these are distinct and in order
+    inside = members[exact][_neighbours(block[exact], _flips(width, RADIUS))]
+    out = np.concatenate([same, near, inside])
     return out[out[:, 0] != out[:, 1]]
 
 
@@ -177,7 +188,7 @@ def rooted(prints: np.ndarray, links: np.ndarray) -> np.ndarray:
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket of equal keys; the rows come sorted by key."""
-    held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def links(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(keys)) + 1
@@ -202,16 +213,17 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy().view(np.int64)), pa.array(pair[:, 1].copy().view(np.int64))], schema=LINK_SCHEMA)
 
     for batch in batches:
-        if not batch.num_rows:
+        keys, prints = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+        if not len(keys):
             continue
-        keys = np.concatenate([held_key, np.asarray(batch.column(0))])
-        prints = np.concatenate([held, np.asarray(batch.column(1)).view(np.uint64)])
-        cut = int(np.searchsorted(keys, keys[-1])) if keys[0] != keys[-1] else 0  # the last bucket may go on
-        if cut:
-            yield from links(keys[:cut], prints[:cut])
-        held_key, held = keys[cut:], prints[cut:]
-    if len(held):
-        yield from links(held_key, held)
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+        if cut or (held and held[-1][0][0] != keys[0]):
+            held.append((keys[:cut], prints[:cut]))
+            yield from links(*map(np.concatenate, zip(*held)))
+            held = []
+        held.append((keys[cut:], prints[cut:]))
+    if held:
+        yield from links(*map(np.concatenate, zip(*held)))
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -266,6 +278,13 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _membership(prints: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints in ``prints``; the root is the least fingerprint of the component."""
+    distinct = prints.select("fp").distinct()
+    roots = components(fingerprint_links(distinct))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long) and component_id, the least doc_id reachable by links.
 
@@ -275,24 +294,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out repeated. Other columns are not read. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(distinct))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = _membership(prints).join(least, "fp")
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # rows of equal fingerprints, such as a third of all, are spread: AQE splits the skewed side of this join
-    membership = named.join(least, "root").select("fp", "component_id")
-    return prints.join(membership, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document per component, the one of the least id, and all its columns.
+    """``docs`` with one row per component, that of the least id, and all its columns.
 
-    Rows that repeat an id are one document, of which one row stays (by a hash of its text). Rows with a null
-    id are kept. An empty table stays empty.
+    Of rows with the least id the one whose text has the least hash stays, so every component keeps one row also
+    where ids repeat. Rows with a null id are kept and name nothing. An empty table stays empty.
     """
-    members = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    stays = members.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.withColumn("__id", F.col(id_col).cast("long")).join(stays, F.col("__id") == F.col("__stays"), "left_semi")
-    first = Window.partitionBy("__id").orderBy(F.xxhash64(text_col))
-    one = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
-    return one.union(docs.where(F.col(id_col).isNull()))
+    own_id, own_text, row, stays_id, stays_text = free_names(docs, "id", "text_hash", "row", "stays_id", "stays_text")
+    known = docs.where(F.col(quoted(id_col)).isNotNull())
+    text_hash = F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    # equal (id, text) is one document; the limit of one row a group holds in each task before the shuffle
+    first = Window.partitionBy(own_id, own_text).orderBy(own_id)
+    single = docs.where(F.col(quoted(id_col)).isNotNull()).withColumns({own_id: F.col(quoted(id_col)).cast("long"), own_text: text_hash}).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
+
+    prints = written(fingerprints(known, id_col, text_col, with_hash=True))
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    stays = _membership(prints).join(least, "fp").groupBy("root").agg(F.min("least").alias("x"))
+    stays = stays.select(F.col("x.doc_id").alias(stays_id), F.col("x.text_hash").alias(stays_text))
+    kept = single.join(stays, (F.col(own_id) == F.col(stays_id)) & (F.col(own_text) == F.col(stays_text)), "left_semi")
+    return kept.select(*columns_of(docs)).union(docs.where(F.col(quoted(id_col)).isNull()))

@@ -165,16 +165,16 @@ def spans_by_brute_force(text):
     ]):
         out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
     base = sorted(out)
-    from logweave.llm.secrets import ALLOWED, LIMITS, WINDOW
-
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        s = m.group()
-        if not re.search("[0-9]", s) or any(a in s.lower() for a in ALLOWED):
-            continue
-        best = max(sum(-c / WINDOW * math.log2(c / WINDOW) for c in Counter(s[i : i + WINDOW]).values()) for i in range(len(s) - WINDOW + 1))
-        kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", s) else "entropy_base64"
-        if best > LIMITS[kind]:
-            out.append((m.start(), 3 if kind == "entropy_hex" else 4, m.end(), kind))
+    from logweave.llm.secrets import ALLOWED, CHARACTERS, KINDS, WINDOW
+
+    for k, (kind, name, holds, lacks, limit) in enumerate(KINDS, 3):
+        for m in re.finditer(f"[{CHARACTERS[name]}]{{{WINDOW},}}", text):
+            s = m.group()
+            if not all(re.search(h, s) for h in holds) or re.search(lacks, s) or any(a in s.lower() for a in ALLOWED):
+                continue
+            best = max(sum(-c / WINDOW * math.log2(c / WINDOW) for c in Counter(s[i : i + WINDOW]).values()) for i in range(len(s) - WINDOW + 1))
+            if best > limit:
+                out.append((m.start(), k, m.end(), kind))
     return base, sorted(out)
 
 
@@ -200,6 +200,32 @@ def test_secrets(spark):
     assert scan_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_of_each_class(spark):
+    from logweave.llm.secrets import scan_secrets
+
+    rng = random.Random(6)
+    upper_hex, letters = "".join(rng.choices("0123456789ABCDEF", k=40)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=48))
+    texts = [f"KEY={upper_hex}", letters, "the/usual/path/of/some/folder/in/lower/case", "internationalisierungsbestrebungen"]
+    got = [sorted({x["kind"] for x in r["found"]}) for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "entropy_hex" in got[0] and got[1:] == [["entropy_letters"], [], []]
+
+
+def test_secrets_in_linear_time(spark):
+    import time
+
+    from logweave.llm.secrets import digest, scan_secrets
+
+    rng = random.Random(7)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    many = "secret=abcdefg " * 30_000
+    for text, expected in ((run, "entropy_base64:0:1000000"), (many, None)):
+        began = time.time()
+        row = digest(scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+        print(len(text), time.time() - began)
+        assert time.time() - began < 60
+        assert row["spans"] == expected if expected else row["n_assign"] == 30_000
+
+
 # ---- language model
 
 
@@ -615,3 +641,81 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
+
+
+# ---- names that clash with an operator's own
+
+
+OWN_NAMES = [
+    "id", "text_hash", "row", "stays_id", "stays_text", "component_id", "fp", "lost", "lost_id", "key", "salt", "stays", "source_key", "tokens", "block", "of", "source_weight",
+    "passes", "cut_block", "last_key", "of_salt", "turn", "__weight", "__tokens", "__lost", "__stays", "__id", "__row", "uid", "word", "chunk", "a.b", "it`s", "Score Column", "one", "x", "root", "node",
+]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, rows):
+    ddl = "doc_id long, text string, source string, " + ", ".join(f"`{n.replace('`', '``')}` double" for n in OWN_NAMES)
+    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}", *(float(k * 1000 + (i or 0)) for k in range(len(OWN_NAMES)))) for i, t in rows], ddl)
+
+
+def test_extra_columns_come_back_unchanged(spark, clashing):
+    from logweave.llm.line_dedup import dedup_lines
+    from logweave.llm.mixing import mix, realised
+    from logweave.llm.quality import score_quality
+    from logweave.llm.simhash import drop_near_duplicates
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    for made in (mix(clashing), realised(mix(clashing), clashing.columns), dedup_lines(clashing), drop_near_duplicates(clashing), score_quality(clashing, labels)):
+        assert made.columns[: len(clashing.columns)] == clashing.columns
+        got = made.collect()
+        assert got
+        for r in got:
+            assert [r[3 + k] for k in range(len(OWN_NAMES))] == [float(k * 1000 + r[0]) for k in range(len(OWN_NAMES))]
+
+
+def test_extra_columns_do_not_reach_the_readers(spark, clashing):
+    from logweave.llm.licenses import scan_licenses
+    from logweave.llm.lm import score_documents
+    from logweave.llm.packing import pack_documents
+    from logweave.llm.quality_rules import score_rules
+    from logweave.llm.secrets import scan_secrets
+    from logweave.llm.simhash import near_duplicates
+    from logweave.llm.vptree import nearest
+
+    n = clashing.count()
+    for made in (scan_licenses(clashing), scan_secrets(clashing), near_duplicates(clashing), score_documents(clashing), score_rules(clashing, clashing.select("doc_id"))):
+        assert made.count() == n
+    assert pack_documents(clashing).select("doc_id").distinct().count() == n
+    vectors = clashing.selectExpr("doc_id as vec_id", "array(double(doc_id), 1d) as embedding", *(f"`{c.replace('`', '``')}`" for c in OWN_NAMES))
+    assert nearest(vectors, vectors.where("vec_id < 3")).count() == 30
+
+
+def test_simhash_buckets_of_two_blocks_do_not_mix(spark):
+    from logweave.llm import simhash
+
+    # as one word, the erased blocks of these would look alike: 200 with bits 21 to 41 set to 1, 200 with bits 0 to 20 set to 0
+    top = 0x155 << 42
+    prints = {top | 1 << 21 | k for k in range(200)} | {top | k << 21 for k in range(200)}
+    signed = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.fingerprint_links(signed)).collect()}
+    expected = components_by_brute_force({p: p for p in prints})
+    assert {p: found.get(p, p) for p in prints} == expected
+
+
+def test_drop_near_duplicates_keeps_one_row_a_component(spark):
+    from logweave.llm.simhash import drop_near_duplicates
+
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    df = spark.createDataFrame([(1, one, 1), (1, two, 2), (2, two, 3), (1, one, 1), (5, one, 4), (None, one, 5)], "doc_id long, text string, row int")
+    got = sorted(((r["doc_id"] or 0, r["text"][0], r["row"]) for r in drop_near_duplicates(df).collect()))
+    assert got == [(0, "a", 5), (1, "a", 1), (1, "b", 2)]
+
+
+def test_mixing_sums_equal_keys_before_they_meet(spark):
+    from logweave.llm.mixing import mix
+
+    rows = [(None if k % 2 else k, "w " * (1 + k % 5), f"s{k % 2}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, budget_tokens=700).collect()
+    assert len(got) == 400 and len({r["copies"] for r in got if r["doc_id"] is None}) == 1
+    assert sum(r["copies"] * r["n_tokens"] for r in got) <= 700

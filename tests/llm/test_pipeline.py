@@ -96,3 +96,15 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(df.columns)
     spell = lambda rows: sorted(tuple(f"{x:.12g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
     assert spell(df.select(*columns).collect()) == spell(con.sql(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall())
+
+
+def test_stages_keep_extra_columns(spark, outputs):
+    from pyspark.sql import functions as F
+
+    names = ["score", "predicted", "held_out", "weight", "copies", "n_tokens", "block_key", "n_lines", "n_dropped", "passes", "row"]
+    docs = outputs[0].select("*", *((F.col("doc_id") * 10 + k).alias(n) for k, n in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF))
+        assert docs.columns == [*outputs[0].columns, *names]
+        assert docs.where(" or ".join(f"{n} <> doc_id * 10 + {k}" for k, n in enumerate(names))).count() == 0
+    assert stage is not None and docs.count() == outputs[4].count()
