@@ -118,38 +118,142 @@ def test_packing_of_nothing(spark):
 # ---- licences
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """Copyright 1999 The Example Project
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of The Example Project nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def gnu(name, tail, what="program"):
+    return f"""This {what} is free software{tail[0]} you can redistribute it and/or modify
+it under the terms of the GNU {name}Public License as published by
+the Free Software Foundation{tail[1:]}
+"""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.splitlines()) + "\n"
+
+
+LICENSE_CASES = [
+    (MIT, "MIT"), (BSD3, "BSD-3-Clause"), (BSD3[: BSD3.index("3. Neither")], "BSD-2-Clause"), (BSD3.replace("1. ", "(a) ").replace("2. ", "b) ").replace("3. ", "* "), "BSD-3-Clause"),
+    (APACHE, "Apache-2.0"), (ISC, "ISC"), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), "0BSD"), (MPL, "MPL-2.0"), (UNLICENSE, "Unlicense"),
+    (gnu("General ", ": , either version 3 of the License, or\n(at your option) any later version.".replace(" ,", ",", 1)), "GPL-3.0-or-later"),
+    (gnu("General ", ";; either version 2 of the License, or (at your option) any later version."), "GPL-2.0-or-later"),
+    (gnu("General ", ";; version 2 of the License."), "GPL-2.0-only"),
+    (gnu("Lesser General ", ";; either\nversion 2.1 of the License, or (at your option) any later version.", "library"), "LGPL-2.1-or-later"),
+    (gnu("Affero General ", ":, version 3 of the License."), "AGPL-3.0-only"),
+    ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nSome words.", "CC0-1.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nWords. More words.\n\n    <one line to give the program's name and a brief idea of what it does.>\n    Copyright (C) <year>  <name of author>\n\n" + gnu("General ", ":, either version 3 of the License, or\n(at your option) any later version."), "GPL-3.0"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+    ("Hello there. Released under the MIT License. And more.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,MIT"), ("All of it.\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    # none: only named, out of order, parted, or made neighbours by what stood between them
+    ("No licence here, but a license is named. MIT it is.", ""), (None, ""), ("", ""), ("Copyright. MIT.", ""),
+    (BSD3.replace("2. Redis", "Something else.\n\n2. Redis"), ""), (BSD3.replace("1. Redis", "2024. Redis"), ""),
+    (MIT.replace("MIT License\n", "").replace("The above", "Strange words. The above"), ""),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation. " + gnu("General ", ":, either version 3 of the License, or\n(at your option) any later version.") + "either version 2 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+]
+
+
 def test_licenses(spark):
-    from logweave.llm.licenses import RULES, SENTENCES, STEMS, known_sentences, scan_licenses
-
-    texts = dict(SENTENCES)
-    mit = ".\n".join(texts[k] for k in (10, 11, 12, 13)) + "."
-    wrapped = re.sub(r"(.{40}\S*) ", r"\1\n", ". ".join(texts[k] for k in (10, 11, 12))) + "."
-    cases = [
-        (1, mit, "MIT"), (2, "Hello there.\n" + wrapped, "MIT"), (3, "x\n" + texts[20] + ".\nReleased under the MIT License. And more", "Apache-2.0,MIT"),
-        (4, "No licence here, but a license is named.", ""), (5, None, ""), (6, "", ""), (7, ". ".join(texts[k] for k in (12, 11, 10)) + ".", ""),
-        (8, texts[35] + ".\nsomething else.\n" + texts[36] + ".", ""), (9, texts[35] + ". " + texts[36] + ".", "GPL-2.0-or-later"),
-    ]
-    df = spark.createDataFrame([(i, t, 1) for i, t, _ in cases], "doc_id long, text string, licenses int")
+    from logweave.llm.licenses import SHIPPED_RULES, SENTENCES, STEMS, known, scan_licenses
+
+    texts = [t for t, _ in LICENSE_CASES]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, licenses int")
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in scan_licenses(df).collect()}
+    assert got == {k: e for k, (_, e) in enumerate(LICENSE_CASES)}
+    # in comments of every kind too
+    marked = [(commented(t, mark), e) for t, e in LICENSE_CASES[:14] for mark in ("#", "//", " *", "--")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(marked)], "doc_id long, text string")
     got = {r["doc_id"]: ",".join(r["licenses"]) for r in scan_licenses(df).collect()}
-    assert got == {i: e for i, _, e in cases}
-    for sentence in known_sentences():
-        assert any(s in sentence for s in STEMS), sentence
-    assert {k for _, ids in RULES for k in ids} <= set(texts)
+    assert got == {k: e for k, (_, e) in enumerate(marked)}
+    sentences, rules = known()
+    of = {}
+    for sentence, k in sentences.items():
+        of.setdefault(k, []).append(sentence)
+    for _, ids in rules:
+        assert any(all(any(re.search(stem, s) for stem in STEMS) for s in of[k]) for k in ids), ids
+    assert {k for _, ids in SHIPPED_RULES for k in ids} <= {k for k, _ in SENTENCES}
     assert scan_licenses(empty(spark)).count() == 0
 
 
-def test_licenses_numbered_bsd(spark):
-    from logweave.llm.licenses import SENTENCES, scan_licenses
+def test_every_known_sentence_can_be_met(spark):
+    from logweave.llm.licenses import SENTENCES, known, scan_licenses
 
-    known = dict(SENTENCES)
-    two = f"{known[50]}:\n\n1. {known[51]}.\n2. {known[52]}.\n"
-    three = two + f"3. {known[53]}.\n"
-    wrap = lambda text: re.sub(r"(.{40}\S*) ", r"\1\n   ", text)
-    broken = f"{known[50]}:\n\n1. {known[51]}.\nSomething else.\n2. {known[52]}.\n"
-    texts = [two, three, wrap(two), wrap(three), broken, two.replace("1.", "2024.")]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(df).collect()}
-    assert got == {0: ["BSD-2-Clause"], 1: ["BSD-3-Clause"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: [], 5: []}
+    df = spark.createDataFrame([(k, f"A license.\n\n{s}.\n\nMore.") for k, (_, s) in enumerate(SENTENCES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["sentence_ids"] for r in scan_licenses(df).collect()}
+    assert all(str(SENTENCES[k][0]) in got[k] for k in got), [SENTENCES[k] for k in got if str(SENTENCES[k][0]) not in got[k]]
+    assert len(known()[0]) == len(set(known()[0]))
 
 
 # ---- secrets
