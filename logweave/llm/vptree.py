@@ -1,8 +1,9 @@
 """Operator 8: nearest neighbours by vantage-point trees, one tree per shard.
 
-Vectors are dealt to shards by a hash of their ids; each shard of about ``SHARD_ROWS`` rows becomes one tree.
-The queries travel in blocks: every block visits every shard, is searched there for its nearest k, and the
-k best of all shards are merged per query. No vector meets another outside of a (shard, block) task.
+Vectors are dealt to shards by a hash of their ids; each shard of about ``SHARD_ROWS`` rows becomes one tree, once.
+Only queries travel: every query visits every shard. A shard's queries come behind its vectors and are searched
+block by block as they stream by, so a task holds one shard and one block; the k best of all shards are merged per
+query.
 
 A subtree is skipped if the triangle inequality keeps it farther than the k-th best found so far; the bound
 is multiplied by ``factor``: 1 skips only what cannot matter (exact), more skips sooner.
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from logweave.llm.common import partitions
+from logweave.llm.common import TEXT_ROWS, arrow_batches, partitions, quoted
 
 K = 10
 SHARD_ROWS = 8192
@@ -100,10 +102,44 @@ class VPTree:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, and a vector of finite components that are not all zero."""
+    """(vec_id, dim, v) of the rows that take part: an id, and a vector of finite components that are not all zero.
+
+    Floats stay floats on their way (half the bytes); other numbers become doubles.
+    """
+    kind = vectors.select(F.col(quoted(vector_col))).schema[0].dataType
+    plain = F.col(quoted(vector_col)) if kind == ArrayType(FloatType(), kind.containsNull) else F.col(quoted(vector_col)).cast("array<double>")
     v = F.col("v")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.size(plain).alias("dim"), plain.alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+
+
+def _search(k: int, factor: float, block_queries: int):
+    """Of rows (dim, shard, kind, vec_id, v), sorted: a shard's vectors (kind 0), then its queries (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, tree = None, [], None
+        for batch in batches:
+            place = np.stack([np.asarray(batch.column(c)) for c in range(3)])
+            names = np.asarray(batch.column(3))
+            for a in np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0).any(axis=0)])[: batch.num_rows]):
+                same = (place == place[:, a : a + 1]).all(axis=0)
+                b = int(np.flatnonzero(same)[-1]) + 1
+                if tuple(place[:2, a]) != shard:
+                    shard, held, tree = tuple(place[:2, a]), [], None
+                rows = np.asarray(batch.column(4).slice(a, b - a).flatten(), dtype=np.float64).reshape(b - a, -1)
+                if place[2, a] == 0:
+                    held.append((names[a:b], rows))
+                    continue
+                if held:
+                    tree, held = VPTree(*map(np.concatenate, zip(*held))), []
+                for s in range(0, b - a if tree else 0, block_queries):
+                    asked = names[a + s : min(b, a + s + block_queries)]
+                    who, score = tree.search(asked, rows[s : s + block_queries], k, factor)
+                    hit = who >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, hit.sum(axis=1))), pa.array(tree.ids[who[hit]]), pa.array(score[hit])], schema=FOUND)
+
+    return run
 
 
 def nearest(
@@ -128,28 +164,11 @@ def nearest(
     rows = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
     shards = max(1, -(-rows.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_queries))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
-    # every query visits every shard: as (shard, block) tasks, in which a shard's tree is built anew per block
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
-    sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-        flat = column.combine_chunks()
-        return np.asarray(flat.flatten(), dtype=np.float64).reshape(n, -1)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return FOUND.empty_table()
-        tree = VPTree(np.asarray(left.column("vec_id")), matrix(left.column("v"), left.num_rows))
-        names = np.asarray(right.column("vec_id"))
-        who, score = tree.search(names, matrix(right.column("v"), right.num_rows), k, factor)
-        hit = who >= 0
-        return pa.table([np.repeat(names, hit.sum(axis=1)), tree.ids[who[hit]], score[hit]], schema=FOUND)
-
-    keys = ["dim", "shard", "block"]
-    n = max(1, min(shards * blocks, 4 * partitions(spark)))
-    found = dealt.repartition(n, *keys).groupBy(*keys).cogroup(sent.repartition(n, *keys).groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
+    n = max(1, min(shards, 4 * partitions(spark)))
+    arrow_batches(spark, TEXT_ROWS)
+    met = dealt.union(sent).repartition(n, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = met.mapInArrow(_search(k, factor, block_queries), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -586,6 +586,10 @@ def test_nearest_is_exact_at_factor_one(spark):
     hit = sum(r["vec_id"] in {v for _, v, _ in got[r["query_id"]]} for r in relaxed)
     assert len(relaxed) == 180 and hit / 180 > 0.5
     assert nearest(df.limit(0), asked).count() == 0
+    # doubles, and so few rows a batch that shards, vectors and queries begin anywhere in one
+    doubles = df.withColumn("embedding", df["embedding"].cast("array<double>"))
+    again = {(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(doubles, asked.withColumn("embedding", asked["embedding"].cast("array<double>")), shard_rows=60, block_queries=3).collect()}
+    assert again == {(q, rank, v) for q, found in got.items() for rank, v, _ in found}
     assert nearest(df.where("vec_id < 4"), df.where("vec_id = 0")).count() == 3
 
 
