@@ -1,26 +1,31 @@
 """Operator 4: language-model scores from a log-frequency Bloom filter.
 
-1. Words of the training documents are counted exactly (counts of each task, then a shuffle by word).
-2. Every text becomes numbers of words where it is read, in chunks of about ``CHUNK_TOKENS`` tokens, written to
+1. Every text becomes numbers of words where it is read, in chunks of about ``CHUNK_TOKENS`` tokens, written to
    the shared folder.
-3. A chunk sends the 64-bit hashes of its distinct words and pairs of neighbours, with their counts in training
+2. A chunk sends the hashes of its distinct words, pairs and triples of neighbours, with their counts in training
    texts, by slices of the hash. So all of an n-gram meets in one task, which sums the counts of its slice.
-4. A count c becomes the level 1 + floor(log2 c). The filter of the slice holds each n-gram once per level up to
+3. A count c becomes the level 1 + floor(log2 c). The filter of the slice holds each n-gram once per level up to
    its own (Talbot and Osborne, 2007) in ``BITS_PER_ENTRY`` bits per entry, so a count is read by probing level
-   after level until one is missing. The slice probes for all chunks that asked and sends the levels back.
-   What a level stands for is the mean count of its n-grams, by exact histograms.
-5. A chunk meets its levels and scores its documents: interpolated probabilities of a word after its neighbour.
-
-The filter grows with the n-grams: a slice is a ``SLICES``-th of it and never leaves its task, so nothing is
-left out at any size of the corpus, and nothing of the filter is broadcast.
-
-The exact unigram base needs exact counts of rare words too, and those have no bound. Words that are among
-the ``FREQUENT`` most frequent are scored from a broadcast table; the others meet their counts in a join.
+   after level until one is missing. The slice probes for all chunks that asked and sends the levels back (and the
+   exact counts of words, which the unigram base needs). What a level stands for is the mean count of its n-grams,
+   by exact histograms.
+4. A chunk meets its levels, which is all that a score needs of its tokens. From the training tokens come the
+   weights: interpolated absolute discounting (Ney, Essen and Kneser, 1994) with the discount n1 / (n1 + 2 n2) of
+   each order, and back-off weights tied by the level of the context: the discount times the n-gram types seen
+   after contexts of the level, over the tokens there. A token's n-gram of count c is 1 / c of a type, so sums
+   over tokens count types.
+5. The documents of each chunk are scored: triples over pairs over add-one words.
+
+The filter grows with the n-grams: its slices grow in number with the corpus, and none leaves its task. So nothing
+is left out at any size, and nothing is broadcast but the levels' values and weights. Words are told apart by 64
+bits, so exact counts are exact up to a collision among them (a chance of 3 in 10,000 for 100 million words);
+pairs and triples by 32 bits beside those of the slice: fewer than one in 1000 meets another, less than the
+filter errs.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import TEXT_ROWS, arrow_batches, id_bucket, mix64, partitions, text_slices, written
+from logweave.llm.common import TEXT_ROWS, arrow_batches, id_bucket, mix64, partitions, quoted, text_slices, written
 
 END = b"\n"
 SEED = 42
-FREQUENT = 150_000
-MIN_PAIR_COUNT = 2
-BITS_PER_ENTRY = 12
+BITS_PER_ENTRY = 24
 PROBES = 4
-WEIGHT = 0.3
-CACHED_WORDS = 400_000
+LEAST_BITS = 4096  # of a slice: in a smaller filter the places of an n-gram often fall together
 CHUNK_TOKENS = 1_000_000
-CHUNK_ROWS = 16  # chunks of a batch
+SLICE_TOKENS = 1 << 20  # a slice takes the n-grams of about so many tokens
+LEAST_SLICE_BITS = 12
 START_HASH = 0x9E3779B97F4A7C15
-SLICES = 4096
-SLICE_SHIFT = np.uint64(64 - 12)
+START_LEVEL = 80  # of the context at the start of a document, above all levels of counts
+LEVELS = 96
 
 
 class WordIndex(dict):
@@ -59,178 +62,145 @@ class WordIndex(dict):
         return k
 
 
-def pair_hashes(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Hashes of (word before, word) for the words of documents in a row; those at ``firsts`` follow a start mark."""
-    before = np.concatenate([[np.uint64(START_HASH)], hashes[:-1]])
-    before[firsts] = np.uint64(START_HASH)
-    return mix64(before * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1) + hashes)
+def packed(array: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return (np.floor(np.log2(counts)) + 1).astype(np.uint8)
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype)
 
 
-def slices_of(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(slice, positions) of sorted hashes, for the slices that have any."""
-    edges = np.searchsorted(hashes, np.arange(1, SLICES, dtype=np.uint64) << SLICE_SHIFT)
-    return [(k, p) for k, p in enumerate(np.split(np.arange(len(hashes)), edges)) if len(p)]
+def _joined(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mix64(before * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1) + hashes)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+def pair_hashes(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Hashes of (word before, word) for the words of documents in a row; those at ``firsts`` follow a start mark."""
+    before = np.concatenate([[np.uint64(START_HASH)], hashes[:-1]])
+    before[firsts] = np.uint64(START_HASH)
+    return _joined(before, hashes)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        items = list(counts.items())
-        counts.clear()
-        for k in range(0, len(items), 50_000):
-            words, ns = zip(*items[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], schema=schema)
 
-    for batch in batches:
-        for _, texts in text_slices(batch, 0):
-            for text in texts:
-                counts.update(text.lower().split())
-            counts[END] += len(texts)
-            if len(counts) > CACHED_WORDS:
-                yield from flush()
-    yield from flush()
+def triple_hashes(pairs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of (pair before, word); a document's first word has none (what stands there means nothing)."""
+    return _joined(np.concatenate([[np.uint64(0)], pairs[:-1]]) ^ np.uint64(START_HASH), hashes)
 
 
-def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes in order, sums of their counts, position of each hash among them)."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    where = np.empty(len(hashes), np.int64)
-    where[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return ordered[first], np.add.reduceat(counts[order], first), where
+def levels(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c), 0 for none."""
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
 
 
-CODED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("training", pa.binary()), ("hashes", pa.binary())])
-CODED_DDL = "uid long, doc_id long, held_out boolean, word binary, n long, known long, base double, chunk long, tokens binary, sizes binary, training binary, hashes binary"
-CHUNK = ["uid", "chunk", "tokens", "sizes", "training", "hashes"]
-
-
-def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("starts", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary()), ("hashes", pa.binary())])
+CHUNK_DDL = "chunk long, n long, starts long, ids array<long>, held array<boolean>, sizes binary, tokens binary, hashes binary"
 
 
 class Coder:
-    """Texts as numbers of words, a chunk at a time, and what the unigram base needs of them."""
-
-    def __init__(self, frequent: dict[bytes, int], room: float):
-        self.frequent, self.room = frequent, room
-        self.clear()
+    """Texts as numbers of words, a chunk at a time."""
 
-    def clear(self) -> None:
-        self.index = WordIndex()
-        self.hashes, self.exact = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self) -> None:
+        self.index, self.hashes, self.n = WordIndex(), [], 0
         self.tokens: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.training: list[np.ndarray] = []
-        self.n = 0
-
-    def learn(self) -> None:
-        """Hashes and counts of the words that are new."""
-        words, known = self.index.new, self.frequent.get
-        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))])
-        self.exact = np.concatenate([self.exact, np.fromiter((known(w, 0) for w in words), np.int64, len(words))])
-        words.clear()
-
-    def run(self, texts: list[bytes], training: np.ndarray) -> tuple:
-        """Per text: tokens, known tokens and base score of frequent words; and (texts, words, counts) of the rare words."""
-        words, ends = [], []
+        self.sizes: list[int] = []
+        self.ids: list[int | None] = []
+        self.held: list[bool] = []
+
+    def add(self, ids: list[int | None], held: list[bool], texts: list[bytes]) -> None:
+        number = self.index.__getitem__
         for text in texts:
-            words += text.lower().split()
+            words = text.lower().split()
             words.append(END)
-            ends.append(len(words))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            self.learn()
-        sizes, n = np.diff(ends, prepend=0), len(texts)
-        doc = np.repeat(np.arange(n), sizes)
-        self.tokens.append(at.astype(np.uint32))
-        self.sizes.append(sizes.astype(np.uint32))
-        self.training.append(training)
-        self.n += len(at)
-        exact = self.exact[at]
-        seen = exact > 0
-        base = np.bincount(doc, weights=np.where(seen, np.log10((exact + 1) / self.room), 0.0), minlength=n)
-        # rare words by (text, word), counted by their numbers
-        some = ~seen
-        places, times = np.unique(doc[some] * len(self.index) + at[some], return_counts=True)
-        firsts_of = np.full(len(self.index), -1)
-        firsts_of[at] = np.arange(len(at))
-        owners, numbers = np.divmod(places, len(self.index))
-        return sizes, np.bincount(doc, weights=seen, minlength=n).astype(np.int64), base, (owners, [words[k] for k in firsts_of[numbers].tolist()], times)
-
-    def chunk(self, number: int, uid: int) -> pa.RecordBatch:
-        """The chunk as a row; ``uid`` is that of its first text."""
-        parts = [np.concatenate(x).tobytes() for x in (self.tokens, self.sizes, self.training)]
-        return _rows(CODED, 1, uid=[uid], chunk=[number], tokens=parts[:1], sizes=parts[1:2], training=parts[2:], hashes=[self.hashes.tobytes()])
-
-
-def _coder(model, chunk_tokens: int):
+            self.tokens.append(np.fromiter(map(number, words), np.uint32, len(words)))
+            self.sizes.append(len(words))
+            self.n += len(words)
+        new = self.index.new
+        self.hashes.append(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in new), np.uint64, len(new)))
+        new.clear()
+        self.ids += ids
+        self.held += held
+
+    def row(self, number: int) -> pa.RecordBatch:
+        starts = len(self.held) - sum(self.held)
+        columns = [[number], [self.n], [starts], [self.ids], [self.held], [packed(np.array(self.sizes, np.uint32))], [packed(np.concatenate(self.tokens))], [np.concatenate(self.hashes).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CHUNK)], schema=CHUNK)
+
+
+def _coder(chunk_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
-        uid = first = number = TaskContext.get().partitionId() << 40
+        coder, number = Coder(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            coder = coder or Coder(*model.value)
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at, texts in text_slices(batch, 1):
-                m = len(texts)
-                held = batch.column(2).slice(at, m)
-                sizes, known, base, (owners, rare, times) = coder.run(texts, ~np.asarray(held).astype(bool))
-                uids = np.arange(uid, uid + m)
-                uid += m
-                words = [b" %d" % u for u in uids]  # no word: it has a space; so these rows spread and match nothing
-                yield _rows(CODED, m, uid=uids, doc_id=batch.column(0).slice(at, m), held_out=held, word=words, n=sizes, known=known, base=base)
-                if rare:
-                    yield _rows(CODED, len(rare), uid=uids[owners], word=rare, n=times)
+                coder.add(ids[at : at + len(texts)], held[at : at + len(texts)], texts)
                 if coder.n >= chunk_tokens:
-                    yield coder.chunk(number, first)
-                    coder.clear()
-                    first, number = uid, number + 1
-        if coder and coder.n:
-            yield coder.chunk(number, first)
+                    yield coder.row(number)
+                    coder, number = Coder(), number + 1
+        if coder.ids:
+            yield coder.row(number)
 
     return run
 
 
 class Chunk:
-    """The arrays of a chunk's row, and the hashes of its words and pairs."""
+    """The arrays of a chunk's row: its tokens by number, and the n-grams that it asks for, by order."""
 
-    def __init__(self, tokens: bytes, sizes: bytes, training: bytes, hashes: bytes):
-        self.tokens, self.sizes, self.training, self.words = np.frombuffer(tokens, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(training, bool), np.frombuffer(hashes, np.uint64)
+    def __init__(self, held: list[bool], sizes: bytes, tokens: bytes, hashes: bytes, slice_bits: int):
+        self.tokens, self.sizes, words = unpacked(tokens, np.uint32), unpacked(sizes, np.uint32).astype(np.int64), np.frombuffer(hashes, np.uint64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
-        self.pairs = pair_hashes(self.words[self.tokens], self.firsts)
+        self.trained = np.repeat(~np.array(held, bool), self.sizes)
+        own = words[self.tokens]
+        pairs = pair_hashes(own, self.firsts)
+        drop = np.uint64(32 - slice_bits)
+        # of pairs and triples the bits of the slice and 32 more
+        self.asked = [words, pairs >> drop, triple_hashes(pairs, own) >> drop]
 
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct n-grams in order, place among them of each word's number or of each token)."""
+        return np.unique(self.asked[order - 1], return_inverse=True)
 
-ASKED = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
-ASKED_DDL = "slice int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+    def counts(self, order: int, where: np.ndarray, n: int) -> np.ndarray:
+        """How often each distinct n-gram stands in training texts."""
+        if order == 1:
+            return np.bincount(where[self.tokens[self.trained]], minlength=n)
+        valid = self.trained.copy()
+        if order == 3:
+            valid[self.firsts] = False
+        return np.bincount(where[valid], minlength=n)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every chunk the distinct n-grams of each slice, in order, with their counts in training texts."""
-    edges = np.arange(1, SLICES, dtype=np.uint64) << SLICE_SHIFT
-    for batch in batches:
-        for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            chunk = Chunk(*row)
-            trained = np.repeat(chunk.training, chunk.sizes)
-            cuts, columns = [], []
-            for hashes, counts in ((chunk.words, np.bincount(chunk.tokens[trained], minlength=len(chunk.words))), (chunk.pairs, trained)):
-                h, c, _ = summed(hashes, counts.astype(np.uint32))
-                cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-                cuts.append(cut)
-                columns += [(h.tobytes(), cut * 8), (c.astype(np.uint32).tobytes(), cut * 4)]
-            some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-            parts = [[data[a:b] for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())] for data, cut in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number)), *(pa.array(p, pa.binary()) for p in parts)], schema=ASKED)
-
-
-def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
-    """The rows of each slice, of batches sorted by slice."""
+ASKED = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), *((f"{kind}{k}", pa.binary()) for k in (1, 2, 3) for kind in ("h", "c", "more"))])
+ASKED_DDL = "slice int, chunk long, " + ", ".join(f"{kind}{k} binary" for k in (1, 2, 3) for kind in ("h", "c", "more"))
+
+
+def _ask(slice_bits: int):
+    """Of every chunk the distinct n-grams of each slice, in order, with their counts: a byte, and four more from 255 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = np.arange(1 << slice_bits, dtype=np.uint64)
+        for batch in batches:
+            for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                chunk = Chunk(*row, slice_bits)
+                parts, rows = [], np.zeros(len(slices), np.int64)
+                for order in (1, 2, 3):
+                    h, where = chunk.distinct(order)
+                    c = chunk.counts(order, where, len(h))
+                    cut = np.append(np.searchsorted(h, slices << np.uint64(64 - slice_bits if order == 1 else 32)), len(h))
+                    sent, many = (h if order == 1 else h.astype(np.uint32)).tobytes(), c >= 255
+                    wide = 8 if order == 1 else 4
+                    before = np.concatenate([[0], np.cumsum(many)])[cut]
+                    parts += [(sent, cut * wide), (np.minimum(c, 255).astype(np.uint8).tobytes(), cut), (c[many].astype(np.uint32).tobytes(), before * 4)]
+                    rows += np.diff(cut)
+                some = np.flatnonzero(rows)
+                for s in range(0, len(some), 4096):
+                    ks = some[s : s + 4096]
+                    columns = [pa.array([data[a:b] for a, b in zip(cut[ks].tolist(), cut[ks + 1].tolist())], pa.binary()) for data, cut in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(np.full(len(ks), number)), *columns], schema=ASKED)
+
+    return run
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """The rows (without the first column) of each value of the first column, by which the batches are sorted."""
     number, rows = None, []
     for batch in batches:
         for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -243,143 +213,171 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield number, rows
 
 
-TOLD = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())])
-TOLD_DDL = "chunk long, slice int, words binary, pairs binary, `order` int, level int, n long, total long"
-
-
-def _tell(least: int):
-    """Per slice: the levels of the n-grams of each chunk, in the order asked, and the histograms of the levels. Pairs of fewer than ``least`` count as unseen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in _by_slice(batches):
-            asked = []
-            for column in (1, 3):
-                parts = [np.frombuffer(row[column], np.uint64) for row in rows]
-                h, c, where = summed(np.concatenate(parts), np.concatenate([np.frombuffer(row[column + 1], np.uint32) for row in rows]).astype(np.int64)) if any(map(len, parts)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-                asked.append((h, c, where, np.cumsum([len(p) for p in parts])[:-1]))
-            held = [(h[c >= at_least], c[c >= at_least]) for (h, c, _, _), at_least in zip(asked, (1, least))]
-            q = [levels(c).astype(np.int64) for _, c in held]
-            mask = np.zeros(max(64, BITS_PER_ENTRY * sum(int(x.sum()) for x in q)), bool)
-            for order, (h, c) in enumerate(held):
-                fill(mask, h, q[order])
-                n, total = np.bincount(q[order], minlength=65), np.bincount(q[order], weights=c, minlength=65).astype(np.int64)
-                some = np.flatnonzero(n)
-                yield _rows(TOLD, len(some), order=np.full(len(some), order + 1), level=some, n=n[some], total=total[some])
-            bits = np.packbits(mask, bitorder="little")
-            told = []
-            for h, _, where, cuts in asked:
-                found = probe(bits, np.zeros(len(h), np.int64), len(mask), h).astype(np.uint8)
-                told.append([p.tobytes() for p in np.split(found[where], cuts)])
-            yield _rows(TOLD, len(rows), chunk=[row[0] for row in rows], slice=np.full(len(rows), k), words=told[0], pairs=told[1])
-
-    return run
-
-
-def level_values(histogram: dict[int, tuple[int, int]], least: int = 1) -> np.ndarray:
-    """What each level from ``least`` on (as 1) stands for."""
-    value = np.zeros(66)
-    for level, (n, total) in histogram.items():
-        if level >= least:
-            value[level - least + 1] = total / n
-    return np.maximum.accumulate(value)  # a level that is empty stands for the one below
-
-
-class Plan:
-    """For a filter in one piece of bounded size: which levels it holds, and what a level stands for. Scores don't use it."""
-
-    def __init__(self, histograms: dict[int, dict[int, tuple[int, int]]], max_bits: int):
-        self.least = {order: min(h, default=1) for order, h in histograms.items()}
-        while self.entries(histograms) * BITS_PER_ENTRY > max_bits:
-            order = 2 if self.least[2] <= max(histograms[2], default=0) else 1
-            self.least[order] += 1
-        need = max(64 * SLICES, self.entries(histograms) * BITS_PER_ENTRY)
-        self.slice_bits = min(max_bits, need) // SLICES
-        self.value = {}
-        for order, h in histograms.items():
-            self.value[order] = level_values(h, self.least[order])
-
-    def entries(self, histograms: dict) -> int:
-        return sum(n * (level - self.least[order] + 1) for order, h in histograms.items() for level, (n, _) in h.items() if level >= self.least[order])
+def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, sums of their counts, place of each hash among them)."""
+    h, where = np.unique(hashes, return_inverse=True)
+    return h, np.bincount(where, weights=counts, minlength=len(h)).astype(np.int64), where
 
 
 def _places(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    a = mix64(hashes + np.uint64((level * 0x9E3779B97F4A7C15) % 2**64))
+    a = mix64(hashes.astype(np.uint64) + np.uint64((level * 0x9E3779B97F4A7C15) % 2**64))
     return a, (a >> np.uint64(32)) | np.uint64(1)
 
 
-def fill(mask: np.ndarray, hashes: np.ndarray, q: np.ndarray) -> None:
+def fill(bits: np.ndarray, hashes: np.ndarray, q: np.ndarray) -> None:
     """Set the bits of all levels of the hashes, up to ``q`` of each."""
-    bits = np.uint64(len(mask))
+    size = np.uint64(len(bits))
     for level in range(1, int(q.max(initial=0)) + 1):
         a, b = _places(hashes[q >= level], level)
         for j in range(PROBES):
-            mask[((a + b * np.uint64(j)) % bits).astype(np.int64)] = True
+            bits[((a + b * np.uint64(j)) % size).astype(np.int64)] = True
 
 
-def probe(filled: np.ndarray, base: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    """The levels of the hashes in the filter of ``bits`` bits that begins at ``base`` of each; 0 if it has none."""
-    level, left, bits = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), np.uint64(bits)
+def probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The levels of the hashes in the filter; 0 if it has none."""
+    level, left, size = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), np.uint64(len(bits))
     for q in range(1, 65):
-        if not len(left):
-            break
         a, b = _places(hashes[left], q)
         for j in range(PROBES):
-            where = ((a + b * np.uint64(j)) % bits).astype(np.int64)
-            hit = (filled[base[left] + (where >> 3)] >> (where & 7).astype(np.uint8)) & 1 > 0
+            hit = bits[((a + b * np.uint64(j)) % size).astype(np.int64)]
             left, a, b = left[hit], a[hit], b[hit]
-            if not len(left):
-                break
+        if not len(left):
+            break
         level[left] = q
     return level
 
 
-def _fill_slices(least: dict[int, int], bits: int):
+# rows of a chunk: the exact counts of its words, and levels by order; other rows: of an order the n-grams (n) of a
+# level, and the tokens that they are; level 0 has the n-grams of count 2
+TOLD = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("exact", pa.binary()), *((f"q{k}", pa.binary()) for k in (1, 2, 3)), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())])
+TOLD_DDL = "chunk long, slice int, exact binary, q1 binary, q2 binary, q3 binary, `order` int, level int, n long, total long"
+
+
+def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def _tell(bits_per_entry: int):
+    """Per slice: what its n-grams are to each chunk, in the order asked, and the histograms of the levels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in _by_slice(batches):
-            mask = np.zeros(bits, bool)
-            for order, hashes, counts in rows:
-                fill(mask, np.frombuffer(hashes, np.uint64), levels(np.frombuffer(counts, np.int64)).astype(np.int64) - least[order] + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+        for k, rows in _by_first(batches):
+            told = {}
+            for order in (1, 2, 3):
+                at = 3 * order - 2
+                parts = [np.frombuffer(row[at], np.uint64 if order == 1 else np.uint32) for row in rows]
+                asked = np.concatenate(parts)
+                counts = np.concatenate([np.frombuffer(row[at + 1], np.uint8) for row in rows]).astype(np.int64)
+                counts[counts == 255] = np.concatenate([np.frombuffer(row[at + 2], np.uint32) for row in rows])
+                h, c, where = summed(asked, counts)
+                q, held = levels(c), c > 0
+                bits = np.zeros(max(LEAST_BITS, bits_per_entry * int(q.sum(dtype=np.int64))), bool)
+                fill(bits, h[held], q[held])
+                n, total = np.bincount(q, minlength=65), np.bincount(q, weights=c, minlength=65).astype(np.int64)
+                n[0], total[0] = np.count_nonzero(c == 2), 0
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield _rows(TOLD, len(some), order=np.full(len(some), order), level=some, n=n[some], total=total[some])
+                cuts = np.cumsum([len(p) for p in parts])[:-1]
+                told[f"q{order}"] = [p.tobytes() for p in np.split(probe(bits, h)[where], cuts)]
+                if order == 1:
+                    told["exact"] = [p.tobytes() for p in np.split(c[where].astype(np.int64), cuts)]
+            yield _rows(TOLD, len(rows), chunk=[row[0] for row in rows], slice=np.full(len(rows), k), **told)
 
     return run
 
 
-class LogFrequencyFilter:
-    """Counts of n-grams by membership probes, for a filter in one piece."""
-
-    def __init__(self, bits: int, slices: dict[int, bytes], value: dict[int, np.ndarray]):
-        self.bits, self.value, stride = bits, value, -(-bits // 8)
-        empty = bytes(stride)
-        self.bytes = np.frombuffer(b"".join(slices.get(k, empty) for k in range(SLICES)), np.uint8)
-        self.stride = stride
+class Model:
+    """What the histograms say: tokens, types, the values of levels and the discounts by order; and back-off weights."""
 
-    def count(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """Estimated counts, 0 for n-grams that the filter doesn't hold."""
-        return self.value[order][probe(self.bytes, (hashes >> SLICE_SHIFT).astype(np.int64) * self.stride, self.bits, hashes)]
+    def __init__(self, histograms: dict[int, dict[int, tuple[int, int]]], starts: int):
+        words = [x for level, x in histograms[1].items() if level]
+        self.types, self.tokens, self.starts = sum(n for n, _ in words), sum(t for _, t in words), starts
+        self.room = 1.0 * (self.tokens + self.types + 1)
+        self.value, self.discount = {}, {}
+        for order, h in histograms.items():
+            value = np.zeros(LEVELS)
+            for level, (n, total) in h.items():
+                if level:
+                    value[level] = total / n
+            value[1:] = np.maximum.accumulate(value[1:])  # a level that is empty stands for the one below
+            value[START_LEVEL] = starts
+            self.value[order] = value
+            one, two = h.get(1, (0, 0))[0], h.get(0, (0, 0))[0]
+            self.discount[order] = one / (one + 2 * two) if one else 0.5
+        self.backoff = {2: np.ones(LEVELS), 3: np.ones(LEVELS)}
+
+    def weigh(self, seen: dict[tuple[int, int], tuple[int, float]]) -> None:
+        """Back-off weights from (order, level of the context): (training tokens, n-gram types) there."""
+        for (order, level), (tokens, types) in seen.items():
+            if level and tokens:
+                self.backoff[order][level] = min(1.0, self.discount[order] * types / tokens)
+
+    def probabilities(self, q: np.ndarray, contexts: dict[int, np.ndarray]) -> np.ndarray:
+        """Of tokens by the levels of their n-grams (rows: order) and of their contexts; level 0: never seen."""
+        p = (self.value[1][q[0]] + 1) / self.room
+        for order in (2, 3):
+            context = contexts[order]
+            among = self.value[order - 1][context]
+            share = np.maximum(np.minimum(self.value[order][q[order - 1]], among) - self.discount[order], 0) / np.maximum(among, 1)
+            p = np.where(context > 0, np.minimum(share + self.backoff[order][context] * p, 1.0), p)
+        return p
+
+
+def context_levels(q: np.ndarray, firsts: np.ndarray) -> dict[int, np.ndarray]:
+    """Levels of the contexts of each token by order: of the word before, of the pair before (none at a start)."""
+    word, pair = (np.concatenate([[0], q[k][:-1]]).astype(np.uint8) for k in (0, 1))
+    word[firsts], pair[firsts] = START_LEVEL, 0
+    return {2: word, 3: pair}
+
+
+MET = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("q", pa.binary()), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("types", pa.float64())])
+MET_DDL = "ids array<long>, held array<boolean>, sizes binary, known binary, base binary, q binary, `order` int, level int, n long, types double"
+MEET = ["chunk", "slice", "ids", "held", "sizes", "tokens", "hashes", "exact", "q1", "q2", "q3"]
+
+
+def _meet(model: Model, slice_bits: int):
+    """Per chunk (its own row before those of its slices): the unigram base and the levels of all its tokens, and
+    of the training tokens how many follow contexts of each level, with the n-gram types that they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (own, *told) in _by_first(batches):
+            _, ids, held, sizes, tokens, hashes, *_ = own
+            chunk = Chunk(held, sizes, tokens, hashes, slice_bits)
+            exact = np.frombuffer(b"".join(r[6] for r in told), np.int64)
+            q = np.zeros((3, len(chunk.tokens)), np.uint8)
+            for order in (1, 2, 3):
+                level, where = np.frombuffer(b"".join(r[6 + order] for r in told), np.uint8), chunk.distinct(order)[1]
+                if order == 1:
+                    count = exact[where][chunk.tokens]
+                    where = where[chunk.tokens]
+                q[order - 1] = level[where]
+            q[2, chunk.firsts] = 0
+            base = np.add.reduceat(np.log10((count + 1) / model.room), chunk.firsts)
+            known = np.add.reduceat((count > 0).astype(np.int64), chunk.firsts)
+            yield _rows(MET, 1, ids=[ids], held=[held], sizes=[sizes], known=[known.tobytes()], base=[base.tobytes()], q=[packed(q)])
+            for order, context in context_levels(q, chunk.firsts).items():
+                context = context[chunk.trained]
+                n = np.bincount(context, minlength=LEVELS)
+                types = np.bincount(context, weights=1 / np.maximum(model.value[order][q[order - 1][chunk.trained]], 1), minlength=LEVELS)
+                some = np.flatnonzero(n)
+                yield _rows(MET, len(some), order=np.full(len(some), order), level=some, n=n[some], types=types[some])
 
-TOLD_CHUNK = ["chunk", "slice", "uid", "tokens", "sizes", "training", "hashes", "words", "pairs"]
+    return run
 
 
-def _score(value: dict[int, np.ndarray], room: float, starts: int, weight: float):
-    """Scores of the documents of each chunk; the rows come sorted by chunk, that of the chunk before its levels."""
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def scores(rows: list[list]) -> pa.RecordBatch:
-        (_, uid, *row, _, _), told = rows[0], rows[1:]
-        chunk = Chunk(*row)
-        words, pairs = (np.frombuffer(b"".join(r[k] for r in told), np.uint8) for k in (-2, -1))
-        count = value[1][words][np.unique(chunk.words, return_inverse=True)[1]][chunk.tokens]
-        context = np.concatenate([[0.0], count[:-1]])
-        context[chunk.firsts] = starts
-        pair = np.minimum(value[2][pairs][np.unique(chunk.pairs, return_inverse=True)[1]], context)
-        share = np.where(context > 0, weight, 0.0)
-        p = share * pair / np.maximum(context, 1) + (1 - share) * (count + 1) / room
-        n = len(chunk.sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), pa.array(np.add.reduceat(np.log10(p), chunk.firsts))], names=["uid", "score"])
 
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_slice(batches):  # here by chunk
-            yield scores(rows)
+        for batch in batches:
+            for ids, held, sizes, known, base, q in zip(*(c.to_pylist() for c in batch.columns)):
+                sizes = unpacked(sizes, np.uint32).astype(np.int64)
+                firsts, q = np.cumsum(sizes) - sizes, unpacked(q, np.uint8).reshape(3, -1)
+                score = np.add.reduceat(np.log10(model.probabilities(q, context_levels(q, firsts))), firsts)
+                columns = [ids, held, sizes, np.frombuffer(known, np.int64), np.frombuffer(base, np.float64), score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCORES)], schema=SCORES)
 
     return run
 
@@ -390,60 +388,36 @@ def score_documents(
     text_col: str = "text",
     modulus: int = 7,
     held_out: int = 2,
-    frequent: int = FREQUENT,
-    weight: float = WEIGHT,
-    least_pairs: int = MIN_PAIR_COUNT,
     chunk_tokens: int = CHUNK_TOKENS,
+    bits_per_entry: int = BITS_PER_ENTRY,
 ) -> DataFrame:
     """Score every document with a model of those whose crc32(id) modulo ``modulus`` is not ``held_out``.
 
     Returns per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams, exact
-    counts) and score (log10 probability by the filter's model, in
-    which pairs of fewer than ``least_pairs`` count as unseen; the query keeps all, with 1). Null and empty texts are the end alone. A
-    null id has no bucket: its text is trained on. Rows that repeat an id stay rows. Other columns are not
-    read. An empty table gives none; without training documents every count is 0.
+    counts) and score (log10 probability by the filter's model of words, pairs and triples). Null and empty texts
+    are the end alone. A null id has no bucket: its text is trained on. Rows that repeat an id stay rows. Other
+    columns are not read. An empty table gives none; without training documents every count is 0.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.coalesce(id_bucket(F.col(quoted(id_col)), modulus) == held_out, F.lit(False)).alias("held_out"))
     arrow_batches(spark, TEXT_ROWS)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(id_bucket(F.col(id_col), modulus) == held_out, F.lit(False)).alias("held_out"))
-    training = plain.where(~F.col("held_out")).select("text")
-
-    counts = written(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    octave = F.floor(F.log2("c") * 16)
-    by_size = sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("types"), F.sum("c").alias("tokens")).collect(), reverse=True)
-    tokens, types = sum(r["tokens"] for r in by_size), sum(r["types"] for r in by_size)
-    room, cut = frequent, None
-    for r in by_size:
-        room -= r["types"]
-        if room < 0:
-            break
-        cut = r["o"]
-    common = {} if cut is None else {bytes(r["word"]): r["c"] for r in counts.where(octave >= cut).collect()}  # ``frequent`` rows at most
-    starts = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-
-    room = 1.0 * (tokens + types + 1)
-    model = spark.sparkContext.broadcast((common, room))
-    coded = written(plain.select("doc_id", "text", "held_out").mapInArrow(_coder(model, chunk_tokens), CODED_DDL))
-    chunks = coded.where(F.col("chunk").isNotNull()).select(CHUNK)
-
-    arrow_batches(spark, CHUNK_ROWS)
-    asked = chunks.drop("uid").mapInArrow(_ask, ASKED_DDL).repartition(n, "slice").sortWithinPartitions("slice")
-    told = written(asked.mapInArrow(_tell(least_pairs), TOLD_DDL))
-    histograms = {1: {}, 2: {}}
+    chunks = written(plain.mapInArrow(_coder(chunk_tokens), CHUNK_DDL))
+    size = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
+    slice_bits = max(LEAST_SLICE_BITS, (size["n"] // SLICE_TOKENS).bit_length())
+
+    asked = chunks.select("chunk", "held", "sizes", "tokens", "hashes").mapInArrow(_ask(slice_bits), ASKED_DDL)
+    told = asked.repartition(n, "slice").sortWithinPartitions("slice")
+    told = written(told.mapInArrow(_tell(bits_per_entry), TOLD_DDL))
+    histograms: dict[int, dict[int, tuple[int, int]]] = {1: {}, 2: {}, 3: {}}
     for r in told.where(F.col("chunk").isNull()).groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
         histograms[r["order"]][r["level"]] = r["n"], r["total"]
-    value = {order: level_values(h) for order, h in histograms.items()}
+    model = Model(histograms, size["starts"])
 
-    meet = chunks.withColumn("slice", F.lit(-1)).unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", "slice", "words", "pairs"), allowMissingColumns=True)
-    arrow_batches(spark, TEXT_ROWS)
-    scores = meet.select(TOLD_CHUNK).repartition(n, "chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_score(value, room, starts, weight), "uid long, score double")
-
-    scored = coded.where(F.col("chunk").isNull()).select("uid", "doc_id", "held_out", "word", "n", "known", "base").join(counts, "word", "left").unionByName(scores, allowMissingColumns=True)
-    own = F.col("base").isNotNull()
-    base = F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(room)))
-    known = F.when(own, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("n")).otherwise(0))
-    return (
-        scored.groupBy("uid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum(F.when(own, F.col("n"))).alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    own = chunks.drop("n", "starts").withColumn("slice", F.lit(-1))
+    meet = own.unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", "slice", "exact", "q1", "q2", "q3"), allowMissingColumns=True)
+    met = written(meet.select(MEET).repartition(n, "chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_meet(model, slice_bits), MET_DDL))
+    weights = met.where(F.col("ids").isNull()).groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
+    model.weigh({(r["order"], r["level"]): (r["n"], r["types"]) for r in weights})
+
+    scored = met.where(F.col("ids").isNotNull()).select("ids", "held", "sizes", "known", "base", "q").mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

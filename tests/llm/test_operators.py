@@ -333,65 +333,103 @@ def test_secrets_in_linear_time(spark):
 # ---- language model
 
 
+def lm_by_brute_force(tokens, trained):
+    """Scores of the model by dictionaries; counts rounded to the mean of their level."""
+    grams = {1: lambda ws: [(w,) for w in ws], 2: lambda ws: list(zip([None, *ws], ws)), 3: lambda ws: list(zip([None, *ws], ws, ws[1:]))}
+    counts = {order: Counter(g for i in trained for g in of(tokens[i])) for order, of in grams.items()}
+    value, discount = {}, {}
+    for order, c in counts.items():
+        by_level = defaultdict(list)
+        for n in c.values():
+            by_level[n.bit_length()].append(n)
+        value[order] = {q: sum(ns) / len(ns) for q, ns in by_level.items()}
+        one, two = (sum(n == k for n in c.values()) for k in (1, 2))
+        discount[order] = one / (one + 2 * two) if one else 0.5
+    starts, room = len(trained), sum(counts[1].values()) + len(counts[1]) + 1
+    level = lambda order, g: counts[order][g].bit_length() if g in counts[order] else 0
+    worth = lambda order, q: starts if q == "start" else value[order][q] if q else 0.0
+
+    def context(order, ws, i):
+        if order == 2:
+            return level(1, (ws[i - 1],)) if i else "start"
+        return level(2, (ws[i - 2] if i > 1 else None, ws[i - 1])) if i else 0
+
+    def gram(order, ws, i):
+        return (ws[i],) if order == 1 else (ws[i - 1] if i else None, ws[i]) if order == 2 else (ws[i - 2] if i > 1 else None, ws[i - 1], ws[i])
+
+    seen, types = Counter(), Counter()
+    for t in trained:
+        for i in range(len(tokens[t])):
+            for order in (2, 3):
+                if order == 3 and not i:
+                    continue
+                at = order, context(order, tokens[t], i)
+                seen[at] += 1
+                types[at] += 1 / max(1, worth(order, level(order, gram(order, tokens[t], i))))
+    out = {}
+    for t, ws in tokens.items():
+        score = 0.0
+        for i in range(len(ws)):
+            p = (worth(1, level(1, (ws[i],))) + 1) / room
+            for order in (2, 3):
+                q = context(order, ws, i)
+                if q:
+                    among = worth(order - 1, q)
+                    share = max(min(worth(order, level(order, gram(order, ws, i))), among) - discount[order], 0) / max(among, 1)
+                    weight = min(1.0, discount[order] * types[order, q] / seen[order, q]) if seen[order, q] else 1.0
+                    p = min(share + weight * p, 1.0)
+            score += math.log10(p)
+        out[t] = score
+    return out, Counter({w: n for (w,), n in counts[1].items()}), room
+
+
 def test_lm(spark, docs, rows):
     from logweave.llm.lm import score_documents
 
-    got = {r["doc_id"]: r for r in score_documents(docs, frequent=20).collect()}
+    got = {r["doc_id"]: r for r in score_documents(docs).collect()}
     tokens = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    pairs = Counter(p for i, ws in tokens.items() if not held[i] for p in zip([None, *ws], ws))
-    starts = sum(not h for h in held.values())
+    exact, counts, room = lm_by_brute_force(tokens, [i for i in tokens if not held[i]])
     assert got.keys() == tokens.keys()
     for i, ws in tokens.items():
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(ws), n, sum(w in counts for w in ws))
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] < 0
-    # the filter only rounds counts: an exact form of the same model is near
-    for i in [i for i in tokens if 5 < len(tokens[i]) < 300]:
-        exact = 0.0
-        for a, b in zip([None, *tokens[i]], tokens[i]):
-            c = starts if a is None else counts[a]
-            pair = min(pairs[a, b], c) if pairs[a, b] > 1 else 0
-            w = 0.3 if c else 0.0
-            exact += math.log10(w * pair / max(c, 1) + (1 - w) * (counts[b] + 1) / (n + v + 1))
-        assert got[i]["score"] == pytest.approx(exact, rel=0.08)
-
-
-def test_lm_query_counts_pairs_seen_once(spark, tmp_path):
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(ws), sum(counts.values()), sum(w in counts for w in ws))
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / room) for w in ws))
+        assert r["score"] == pytest.approx(exact[i], rel=0.01)  # the filter errs upwards here and there
+    # whatever room the filter has and however the texts fall into chunks
+    for more in ({"bits_per_entry": 200}, {"chunk_tokens": 300}):
+        again = {r["doc_id"]: r["score"] for r in score_documents(docs, **more).collect()}
+        assert again == pytest.approx({i: r["score"] for i, r in got.items()}, rel=0.01)
+        if "chunk_tokens" in more:
+            assert again == pytest.approx({i: r["score"] for i, r in got.items()})
+
+
+def test_lm_tells_texts_seen_twice_from_those_seen_once(spark):
     from logweave.llm.lm import score_documents
-    from logweave.llm.queries import QUERIES
-
-    texts = {k: " ".join(f"w{(j * (k + 1)) % 50}" for j in range(40)) + f" only{k} once{k}" for k in range(40)}
-    tokens = {i: t.encode().split() + [b"\n"] for i, t in texts.items()}
-    train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
-    counts = Counter(w for i in train for w in tokens[i])
-    pairs = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i]))
-    assert sum(c == 1 for c in pairs.values()) > 50
-    value = {}
-    for order, of in ((1, counts), (2, pairs)):
-        for level in {c.bit_length() for c in of.values()}:
-            same = [c for c in of.values() if c.bit_length() == level]
-            value[order, level] = sum(same) / len(same)
-    room = sum(counts.values()) + len(counts) + 1
-    rounded = lambda order, c: value[order, c.bit_length()] if c else 0.0
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_lm_scores"](spark, str(tmp_path)).collect()}
-    small = {r["doc_id"]: r["score"] for r in score_documents(df, least_pairs=1, chunk_tokens=200).collect()}
-    assert small == pytest.approx(got)  # however the texts fall into chunks
-    near = 0
-    for i in texts:
-        exact = 0.0
-        for a, b in zip([None, *tokens[i]], tokens[i]):
-            c = len(train) if a is None else rounded(1, counts[a])
-            w = 0.3 if c else 0.0
-            exact += math.log10(w * min(rounded(2, pairs[a, b]), c) / max(c, 1) + (1 - w) * (rounded(1, counts[b]) + 1) / room)
-        near += abs(got[i] - exact) < 1e-6
-    assert near > 0.3 * len(texts)  # the filter errs upwards here and there
-    assert got.keys() == texts.keys()
+
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda: " ".join(rng.choices(words, k=80))
+    twice, once = [text() for _ in range(40)], [text() for _ in range(300)]
+    rows = list(enumerate(twice + twice + once))
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    trained = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
+    low = min(got[k] for k in range(40) if trained(k) and trained(k + 40))
+    high = max(got[k] for k in range(80, 380))
+    assert low > high + 10
+
+
+def test_lm_many_slices_and_large_counts(spark, monkeypatch):
+    from logweave.llm import lm
+
+    rows = [(k, ("all of us " * (k % 7 * 50)) + f"one{k} two{k % 20}") for k in range(120)]
+    tokens = {i: t.encode().split() + [b"\n"] for i, t in rows}
+    exact, _, _ = lm_by_brute_force(tokens, [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tokens_a_slice in (1 << 20, 4):
+        monkeypatch.setattr(lm, "SLICE_TOKENS", tokens_a_slice)
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, bits_per_entry=64).collect()}
+        assert got == pytest.approx(exact, rel=0.01)
 
 
 def test_lm_edges(spark):
@@ -402,25 +440,17 @@ def test_lm_edges(spark):
     assert sorted((r["doc_id"] is None, r["n_tokens"]) for r in score_documents(few).collect()) == [(False, 3), (False, 3), (True, 3)]
 
 
-def test_lm_filter_never_misses_and_fits_its_bound():
+def test_lm_filter_never_misses():
     from logweave.llm import lm
 
     rng = np.random.default_rng(1)
     hashes = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
-    counts = rng.integers(1, 1000, len(hashes))
-    histogram = {int(q): (int((lm.levels(counts) == q).sum()), int(counts[lm.levels(counts) == q].sum())) for q in np.unique(lm.levels(counts))}
-    plan = lm.Plan({1: histogram, 2: {}}, 1 << 22)
-    slices = {}
-    for k, at in lm.slices_of(hashes):
-        batch = list(lm._fill_slices(plan.least, plan.slice_bits)([lm.pa.RecordBatch.from_arrays([lm.pa.array([k]), lm.pa.array([1]), lm.pa.array([hashes[at].tobytes()]), lm.pa.array([counts[at].tobytes()])], names=["k", "o", "h", "c"])]))[0]
-        slices[k] = batch.column(1)[0].as_py()
-    table = lm.LogFrequencyFilter(plan.slice_bits, slices, plan.value)
-    est = table.count(hashes, 1)
-    true_level = np.array([plan.value[1][q] for q in lm.levels(counts)])
-    assert (est >= true_level - 1e-9).all() and (est == true_level).mean() > 0.9
-    assert (table.count(rng.integers(0, 2**63, 20000).astype(np.uint64), 1) > 0).mean() < 0.05
-    tight = lm.Plan({1: histogram, 2: {1: (10**7, 10**7), 2: (10**6, 2 * 10**6)}}, 1 << 22)
-    assert tight.slice_bits * lm.SLICES <= 1 << 22 and tight.least[2] > 2
+    q = lm.levels(rng.integers(1, 1000, len(hashes)))
+    bits = np.zeros(lm.BITS_PER_ENTRY * int(q.sum()), bool)
+    lm.fill(bits, hashes, q)
+    found = lm.probe(bits, hashes)
+    assert (found >= q).all() and (found == q).mean() > 0.99
+    assert (lm.probe(bits, rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.005
 
 
 # ---- line dedup
