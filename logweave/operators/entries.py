@@ -80,14 +80,21 @@ def find_first(rows: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def malformed(entries: DataFrame) -> DataFrame:
-    """(session_key, line_no, method): entries that lack a nested field on which the named operator depends."""
+    """(session_key, line_no, method): entries that lack a nested field on which the named operator depends.
+
+    tasks and fileHistory need a session id that can name a folder; messages needs a request id that can be told
+    from others, which an object or array cannot.
+    """
     raw = F.col("raw")
 
     def lacks(path: str, kinds: list[str]):
         return ~F.coalesce(kind_of(at(raw, path)).isin(kinds), F.lit(False))
 
     assistant, user, attachment, snapshot = (F.col("type") == t for t in ("assistant", "user", "attachment", "file-history-snapshot"))
+    named = ~kind_of(at(raw, "$.sessionId")).isin("number", "boolean", "object", "array") | at(raw, "$.sessionId").isNull()
     checks = {
+        "messages": assistant & F.coalesce(kind_of(at(raw, "$.requestId")).isin("object", "array"), F.lit(False)),
+        "tasks": ~named,
         "metrics": assistant & lacks("$.message.usage", ["object"]),
         "compaction": assistant & ~F.col("is_sidechain") & lacks("$.message.usage", ["object"]),
         "toolCalls": assistant & lacks("$.message.content", ["array", "string"]),
@@ -96,7 +103,7 @@ def malformed(entries: DataFrame) -> DataFrame:
         "isOngoing": assistant & lacks("$.message.content", ["array", "string"]),
         "skills": attachment & lacks("$.attachment", ["object"]),
         "deferredTools": attachment & lacks("$.attachment", ["object"]),
-        "fileHistory": snapshot & lacks("$.snapshot", ["object"]),
+        "fileHistory": (snapshot & lacks("$.snapshot", ["object"])) | ~named,
     }
     found = F.array(*(F.when(c, F.lit(m)) for m, c in checks.items()))
     return entries.select("session_key", "line_no", F.explode(F.filter(found, lambda m: m.isNotNull())).alias("method"))

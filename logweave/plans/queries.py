@@ -402,7 +402,7 @@ def _inventory(spark: SparkSession, sf_dir: str, odd: bool | None = None) -> Dat
     rows = A.events(jsonl.configure(spark), sf_dir)
     if odd is not None:
         rows = rows.where(F.col("event_id") % 2 == int(odd))
-    return audit.inventory(audit.walk(audit.entry_seeds(A.event_json(rows)), max_depth=8))
+    return audit.inventory(audit.entry_seeds(A.event_json(rows)))
 
 
 def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,17 @@ class SessionLogs:
         found = tasks.read_tasks(self.spark, base)
         return self.metadata().select("session_key", "session_id").join(found, "session_id").orderBy("session_key", *tasks.task_order())
 
-    def subagents(self, files: DataFrame) -> DataFrame:
-        """Edges to the sub-agent logs among ``files`` (session_key, size)."""
-        paths = [r["session_key"] for r in files.select("session_key").collect()]
-        own = [r["session_key"] for r in self.sessions.select("session_key").collect()]
-        return discovery.subagent_files(self.sessions, files, jsonl.first_lines(self.spark, sorted(set(paths) | set(own))))
+    def subagents(self, files: DataFrame | None = None) -> DataFrame:
+        """Edges to the sub-agent logs among ``files`` (session_key, size); without it, to those beside these sessions."""
+        own = [r["session_key"] for r in self.sessions.select("session_key").collect()]  # names, which were listed on the driver
+        if files is None:
+            folders = sorted({path.rsplit("/", 1)[0] for path in own})
+            globs = [glob for f in folders for glob in (f"{f}/agent-*.jsonl", f"{f}/*/subagents/agent-*.jsonl")]
+            files = frame(self.spark, matching(self.spark, globs), "session_key string, size long")
+        paths = sorted({r["session_key"] for r in files.select("session_key").collect()} | set(own))
+        if not paths:
+            return frame(self.spark, [], "parent_key string, child_key string, layout string")
+        return discovery.subagent_files(self.sessions, files, jsonl.first_lines(self.spark, paths))
 
     def malformed(self) -> DataFrame:
         return ops.malformed(self.entries)

@@ -9,7 +9,7 @@ from logweave.functions.scalars import base_name, dir_name, stem
 from logweave.operators.derive import first_observed, first_user_message, user_text
 from logweave.plans.lineage import cut
 from logweave.sources.files import default_dir, frame, listing
-from logweave.sources.jsonl import first_lines, head, read_entries
+from logweave.sources.jsonl import first_lines, read_head
 
 HEAD_LINES = 200
 SESSION_FILES = "session_key string, project string, name string, size long"
@@ -69,7 +69,7 @@ def _summarised(spark: SparkSession, files: DataFrame, head_lines: int) -> DataF
     paths = [r["session_key"] for r in files.select("session_key").collect()]  # names, which were listed on the driver
     if not paths:
         return summaries(_no_entries(spark), files)
-    return summaries(head(read_entries(spark, paths), head_lines), files)
+    return summaries(read_head(spark, paths, head_lines), files)
 
 
 def _no_entries(spark: SparkSession) -> DataFrame:
@@ -80,9 +80,8 @@ def _no_entries(spark: SparkSession) -> DataFrame:
 def find_all_sessions(spark: SparkSession, root: str | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
     """Summaries of all projects' sessions: projects by name, within each the newest first. One scan for all."""
     projects = [(name, path) for name, path, is_dir, _ in listing(spark, root or default_dir("projects")) if is_dir]
-    files = frame(spark, [], SESSION_FILES)
-    for name, path in projects:
-        files = files.union(session_files(spark, path, name))
+    rows = [(key, name, n, size) for name, path in projects for n, key, _, size in listing(spark, path) if n.endswith(".jsonl")]
+    files = frame(spark, rows, SESSION_FILES)
     return newest_first(_summarised(spark, files, head_lines), by_name("project"), F.col("project"))
 
 
@@ -117,19 +116,32 @@ def find_subagent_files(spark: SparkSession, parent: str) -> DataFrame:
     return subagent_files(parents, files, firsts).orderBy("layout", by_name("child_key"))
 
 
-def tree_totals(edges: DataFrame, totals: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(root_key, n_sessions, tokens): sums over each session and all that descend from it.
+def descendants(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(root_key, node): each of ``nodes`` (session_key) with itself and all that descend from it, to any depth.
+
+    Links are doubled: with the pairs at most 2**t - 1 links apart and those that 2**t links join, one join
+    gives all pairs at most 2**(t + 1) - 1 apart, so a tree of depth d takes about log2(d) rounds. In a tree
+    every pair is made once. Cycles end where nothing new is reached.
+    """
+    step = cut(edges.where(F.col("parent_key") != F.col("child_key")).select(F.col("parent_key").alias("u"), F.col("child_key").alias("v")).distinct())
+    reached = cut(nodes.select(F.col("session_key").alias("root_key"), F.col("session_key").alias("node")).distinct())
+    size = reached.count()
+    while True:
+        farther = reached.join(step, reached["node"] == step["u"]).select("root_key", F.col("v").alias("node"))
+        reached = cut(reached.union(farther).distinct())
+        before, size = size, reached.count()
+        if size == before:
+            return reached
+        onward = step.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        step = cut(step.join(onward, "v").select("u", F.col("w").alias("v")).distinct())
+
+
+def tree_totals(edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """(root_key, n_sessions, tokens): sums over each session and all that descend from it, to any depth.
 
     edges: parent_key, child_key (from any layout). totals: session_key, tokens. A session counts once per
     root; links to itself and cycles end where they meet a session that has been seen.
     """
-    links = edges.where(F.col("parent_key") != F.col("child_key")).select("parent_key", "child_key").distinct()
-    level = totals.select(F.col("session_key").alias("root_key"), F.col("session_key").alias("node"))
-    reached = level
-    for _ in range(most_depth):
-        level = level.join(links, level["node"] == links["parent_key"]).select("root_key", F.col("child_key").alias("node")).distinct()
-        level = cut(level.join(reached, ["root_key", "node"], "left_anti"))
-        if level.isEmpty():
-            break
-        reached = cut(reached.union(level))
+    # links through sessions without a total of their own still join what lies beyond them
+    reached = descendants(edges, totals)
     return reached.join(totals.withColumnRenamed("session_key", "node"), "node").groupBy("root_key").agg(F.count("*").alias("n_sessions"), F.sum("tokens").alias("tokens"))

@@ -28,9 +28,18 @@ def list_blobs(spark: SparkSession, base: str | None = None, session_id: str | N
 
 
 def read_blobs(spark: SparkSession, versions: DataFrame, base: str) -> DataFrame:
-    """``versions`` with their blob's text as ``content``; null where there is no blob."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*@v*").load(f"{base}/*")
-    text = found.select(F.col("path").alias("blob_path"), F.decode("content", "UTF-8").alias("content"))
+    """``versions`` with their blob's text as ``content``; null where there is no blob or it cannot be read.
+
+    Only the folders of sessions that have a version with a blob are read (their names reach the driver).
+    Bytes that are no UTF-8 become U+FFFD.
+    """
+    named = versions.where(F.col("blob_path").isNotNull()).select(base_name(dir_name(F.col("blob_path"))).alias("folder")).distinct()
+    folders = sorted(f"{base}/{r['folder']}" for r in named.collect())
+    paths = [f for f in folders if exists(spark, f, folder=True)]
+    if not paths:
+        return versions.withColumn("content", F.lit(None).cast("string"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*@v*").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(paths)
+    text = files.select(F.col("path").alias("blob_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return versions.join(text, "blob_path", "left")
 
 

@@ -17,14 +17,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(session_key, file_size, line_no, nonblank_no, line) of every line of the files.
-
-    line_no counts lines from 0; nonblank_no counts those that are not blank from 1. Lines are numbered by
-    the start of their split and their order in it, in one window per file, which the exchange on session_key
-    that later steps need serves as well.
-    """
-    raw = (
+def _raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(session_key, file_size, block, mid, line): block is the start of the split, mid the order in it."""
+    return (
         spark.read.text(paths)
         .select(
             file_key(F.col("_metadata.file_path")).alias("session_key"),
@@ -35,9 +30,18 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         )
         .withColumn("line", trim_all(F.col("line")))
     )
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(session_key, file_size, line_no, nonblank_no, line) of every line of the files.
+
+    line_no counts lines from 0; nonblank_no counts those that are not blank from 1. Lines are numbered by
+    the start of their split and their order in it, in one window per file, which the exchange on session_key
+    that later steps need serves as well.
+    """
     order = Window.partitionBy("session_key").orderBy("block", "mid")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.select(
+    return _raw_lines(spark, paths).select(
         "session_key",
         "file_size",
         (F.row_number().over(order) - 1).cast("long").alias("line_no"),
@@ -46,6 +50,25 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _least_lines(lines: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of each file, with nonblank_no from 1.
+
+    Each task keeps that many of its rows of a file before they are exchanged, so what is exchanged is in
+    proportion to files, not to their sizes.
+    """
+    order = Window.partitionBy("session_key").orderBy("block", "mid")
+    return lines.withColumn("nonblank_no", F.row_number().over(order)).where(F.col("nonblank_no") <= most).withColumn("nonblank_no", F.col("nonblank_no").cast("long"))
+
+
+def head_lines(spark: SparkSession, paths: str | list[str], lines: int) -> DataFrame:
+    """(session_key, file_size, line_no, nonblank_no, line) of the first ``lines`` lines of each file that are not blank, one at least.
+
+    Here line_no counts these lines alone, from 0.
+    """
+    least = _least_lines(_raw_lines(spark, paths).where(F.col("line") != ""), max(lines, 1))
+    return least.select("session_key", "file_size", (F.col("nonblank_no") - 1).alias("line_no"), "nonblank_no", "line")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON, as ``raw`` VARIANT; blank and malformed ones are left out."""
     return once(lines, strict_json(F.col("line"))).drop("line")
@@ -113,12 +136,18 @@ def head(rows: DataFrame, lines: int) -> DataFrame:
     return rows.where(F.col("nonblank_no") <= max(lines, 1))
 
 
+def read_head(spark: SparkSession, paths: str | list[str], lines: int) -> DataFrame:
+    """The entries among the first ``lines`` non-blank lines of each file, as :func:`head` gives them of all entries."""
+    return canonical(parsed(head_lines(configure(spark), paths, lines)))
+
+
 def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(session_key, first_session_id): the session id of each file's very first line, whatever value it is.
 
-    The id is given with its kind, so that equality is strict; files without one are left out.
+    The id is given with its kind, so that equality is strict; files without one are left out. Only rows of a
+    file's first split are looked at, of which each task sends on one.
     """
-    first = read_lines(configure(spark), paths).where(F.col("line_no") == 0)
+    first = _least_lines(_raw_lines(configure(spark), paths).where(F.col("block") == 0), 1)
     value = at(strict_json(F.col("line")), "$.sessionId")
     found = first.select("session_key", F.when(kind_of(value) != "null", F.concat_ws(":", kind_of(value), value.cast("string"))).alias("first_session_id"))
     return found.where(F.col("first_session_id").isNotNull())

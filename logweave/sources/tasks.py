@@ -69,15 +69,18 @@ def read_tasks(spark: SparkSession, base: str | None = None, session_id: str | N
 
     Hidden files (names that start with a dot or underscore) are not read.
     """
-    configure(spark)
     base = base or default_dir("tasks")
     if not exists(spark, base, folder=True) or (session_id is not None and find_tasks_dir(spark, session_id, base) is None):
         return spark.createDataFrame([], TASK_DDL)
     folders = [session_id] if session_id is not None else [n for n, _, is_dir, _ in listing(spark, base) if is_dir and not n.startswith(".")]
-    paths = [f"{base}/{f}" for f in folders]
+    return _read_files(spark, [f"{base}/{f}" for f in folders])
+
+
+def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The valid tasks of the files, or of those in the folders, named."""
     if not paths:
         return spark.createDataFrame([], TASK_DDL)
-    text = spark.read.option("pathGlobFilter", "*.json").text(paths, wholetext=True)
+    text = configure(spark).read.option("pathGlobFilter", "*.json").text(paths, wholetext=True)
     path = file_key(F.col("_metadata.file_path"))
     name = base_name(path)
     files = text.select(base_name(dir_name(path)).alias("session_id"), F.left(name, F.length(name) - 5).alias("file_stem"), strict_json(F.trim(F.col("value"))).alias("raw"))
@@ -90,8 +93,9 @@ def list_tasks(spark: SparkSession, session_id: str, base: str | None = None) ->
 
 
 def read_task(spark: SparkSession, session_id: str, task_id: str, base: str | None = None) -> DataFrame:
-    """The task of the file ``<task_id>.json``, or no row."""
-    return read_tasks(spark, base, session_id).where(F.col("file_stem") == task_id)
+    """The task of the file ``<task_id>.json``, or no row; no other file is read."""
+    path = f"{base or default_dir('tasks')}/{session_id}/{task_id}.json"
+    return _read_files(spark, [path] if exists(spark, path) else [])
 
 
 def session_tasks(sessions: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -99,6 +99,8 @@ def test_subagents(spark, tmp_path):
     write(tmp_path / "agent-bad.jsonl", "not json")
     names = lambda df: sorted((r["child_key"].rsplit("/", 1)[1], r["layout"]) for r in df.collect())
     assert names(discovery.find_subagent_files(spark, parent)) == [("agent-x.jsonl", "new"), ("agent-y.jsonl", "old")]
+    logs = SessionLogs(spark, parent, persist=False)
+    assert names(logs.subagents()) == [("agent-x.jsonl", "new"), ("agent-y.jsonl", "old")]
     # a log of the old layout lists itself
     assert names(discovery.find_subagent_files(spark, str(tmp_path / "agent-z.jsonl"))) == [("agent-z.jsonl", "old")]
 
@@ -110,6 +112,49 @@ def test_tree_totals_end_at_cycles(spark):
     assert got == {"a": (4, 1111), "b": (4, 1111), "c": (4, 1111), "d": (1, 1000)}
 
 
+def test_trees_of_any_depth(spark):
+    n = 200
+    edges = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(n - 1)], "parent_key string, child_key string")
+    totals = spark.createDataFrame([(f"s{k}", 1) for k in range(n)], "session_key string, tokens long")
+    got = {r["root_key"]: (r["n_sessions"], r["tokens"]) for r in discovery.tree_totals(edges, totals).collect()}
+    assert got == {f"s{k}": (n - k, n - k) for k in range(n)}
+
+
+def test_inventory_of_any_depth(spark):
+    jsonl.configure(spark)
+    deep: object = {"end": 1}
+    for _ in range(60):
+        deep = {"d": deep}
+    df = spark.createDataFrame([(json.dumps({"type": "a", "x": deep}),), (json.dumps({"type": "a", "x": [[[[[[[[[[5]]]]]]]]]]}),)], "t string").select(F.parse_json("t").alias("raw"))
+    seeds = audit.entry_seeds(df)
+    got = {r["path"]: r["kinds"] for r in audit.inventory(seeds).collect()}
+    assert got["entry[a].x" + ".d" * 60 + ".end"] == ["number"] and got["entry[a].x"] == ["array", "object"]
+    assert got["entry[a].x" + "[]" * 10] == ["number"] and len(got) == 3 + 60 + 1 + 10
+    rows = [(r["path"], r["kind"]) for r in audit.walk(seeds).collect()]
+    assert len(rows) == (3 + 60 + 1) + (3 + 10) and {p for p, _ in rows} == set(got)
+
+
+def test_head_scans_exchange_a_few_lines(spark, tmp_path):
+    for name in ("a", "b"):
+        write(tmp_path / f"{name}.jsonl", "", user("first", sessionId=name), "not json", *({"type": "user", "n": k, "pad": "x" * 300} for k in range(4000)))
+    (tmp_path / "c.jsonl").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        paths = str(tmp_path / "*.jsonl")
+        head = jsonl.read_head(spark, paths, 5).orderBy("session_key", "line_no")
+        whole = jsonl.head(jsonl.read_entries(spark, paths), 5).orderBy("session_key", "line_no")
+        assert [(r["session_key"], r["nonblank_no"]) for r in head.collect()] == [(r["session_key"], r["nonblank_no"]) for r in whole.collect()]
+        plan = head._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("WindowGroupLimit") < plan.index("hashpartitioning(session_key") < plan.rindex("WindowGroupLimit")
+        # a blank first line has no session id
+        assert jsonl.first_lines(spark, paths).count() == 0
+        write(tmp_path / "d.jsonl", user("x", sessionId="d"), *({"pad": "x" * 300} for _ in range(1000)))
+        assert [r["first_session_id"] for r in jsonl.first_lines(spark, paths).collect()] == ["string:d"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def task(i, **more):
     return json.dumps({"id": i, "subject": "s", "description": "d", "status": "pending", "blocks": [], "blockedBy": ["1"], **more})
 
@@ -128,7 +173,8 @@ def test_tasks(spark, tmp_path):
     assert [r["id"] for r in got] == ["1", "2", "10", "abc"]
     assert [(r["owner"], r["metadata"] is not None) for r in got] == [("me", True), (None, False), (None, False), (None, False)]
     assert tasks.read_task(spark, "sess", "x", str(tmp_path)).first()["id"] == "abc"
-    assert tasks.read_task(spark, "sess", "b2", str(tmp_path)).count() == 0
+    assert tasks.read_task(spark, "sess", "b2", str(tmp_path)).count() == 0 and tasks.read_task(spark, "sess", "no", str(tmp_path)).count() == 0
+    assert len(tasks.read_task(spark, "sess", "x", str(tmp_path)).inputFiles()) == 1
     assert [r[0] for r in tasks.list_task_sessions(spark, str(tmp_path)).collect()] == ["none", "sess"]
     assert tasks.find_tasks_dir(spark, "gone", str(tmp_path)) is None
     assert tasks.list_tasks(spark, "gone", str(tmp_path)).count() == 0 and tasks.list_tasks(spark, "none", str(tmp_path)).count() == 0
@@ -156,6 +202,9 @@ def test_file_history(spark, tmp_path):
     assert [r["blob_path"] is not None for r in got] == [False, True, False]
     read = {(r["file_path"], r["version"]): r["content"] for r in logs.read_file_history(str(tmp_path / "store")).collect()}
     assert read[("notes.md", 2)] == "blob" and read[("README.md", 1)] is None
+    assert {r["content"] for r in file_history.read_blobs(spark, logs.file_history(str(tmp_path / "store")), str(tmp_path / "gone")).collect()} == {None}
+    (store / "abc@v2").write_bytes(b"b\xff")
+    assert {r["content"] for r in logs.read_file_history(str(tmp_path / "store")).where("version = 2").collect()} == {"b�"}
     blobs = file_history.list_blobs(spark, str(tmp_path / "store"))
     assert [r["backup_file_name"] for r in file_history.orphan_blobs(blobs, logs.file_history(str(tmp_path / "store")).select("session_id", "backup_file_name")).collect()] == ["zzz@v9"]
     assert file_history.find_history_dir(spark, "sid", str(tmp_path / "store")) and file_history.find_history_dir(spark, "no", str(tmp_path / "store")) is None
@@ -181,7 +230,7 @@ def test_inventory_and_drift(spark):
 
     def inventory(*values):
         df = spark.createDataFrame([(json.dumps(v),) for v in values], "t string").select(F.parse_json("t").alias("raw"))
-        return audit.inventory(audit.walk(audit.entry_seeds(df), max_depth=8))
+        return audit.inventory(audit.entry_seeds(df))
 
     def as_dict(df):
         return {r["path"]: r["kinds"] for r in df.collect()}
