@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs), one of our own."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; where that is unset (local runs), in a folder of our own."""
+    """A reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
+    path = shared_dir(df.sparkSession)
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="logweave-"))
+        context.setCheckpointDir(path)
     return df.checkpoint()

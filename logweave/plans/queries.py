@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +9,9 @@ from logweave.functions.scalars import epoch_ms, strict_json, trim_all
 from logweave.operators import audit, derive
 from logweave.operators import entries as ops
 from logweave.plans import adapters as A
+from logweave.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from logweave.sources import discovery, file_history, jsonl, persisted, tasks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 # What the adapters do, in SQL.
 E = """
 ev as (select *, json_extract_string(props, '$.k')::bigint as k from events),
@@ -32,15 +27,6 @@ d as (select * from e qualify request_key is null or line_no = max(line_no) over
 TRIMMED = r"regexp_replace({x}, '^[\s\p{{Z}}\x{{FEFF}}\x0B]+|[\s\p{{Z}}\x{{FEFF}}\x0B]+$', '', 'g')"
 
 
-def query(sql: str) -> Callable[[Query], Query]:
-    def note(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return note
-
-
 def entries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.event_entries(jsonl.configure(spark), sf_dir)
 
@@ -202,7 +188,7 @@ def q18_find_tool_call(spark, sf_dir):
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.concat(F.lit("intro\n- "), F.col("source"), F.lit(":"), F.col("lang"), F.lit(": d "), F.left("text", F.lit(30)), F.lit("\n-x\n- none\n- "), F.col("lang"), F.lit(" : y\n- : z"))
+    content = F.concat(F.lit("intro\n- "), F.col("source"), F.lit(":"), F.col("lang"), F.lit(": d "), F.col("text"), F.lit("\n-x\n- none\n- "), F.col("lang"), F.lit(" : y\n- : z"))
     return A.table(spark, sf_dir, "documents").select(F.col("source").alias("session_key"), F.col("doc_id").alias("line_no"), content.alias("content"))
 
 
@@ -210,7 +196,7 @@ def _skill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.skills(_listings(spark, sf_dir)).select("session_key", F.posexplode("names").alias("pos", "name"))
 
 
-_SKILLS = rf"""l as (select source as session_key, doc_id, 'intro' || chr(10) || '- ' || source || ':' || lang || ': d ' || left(text, 30) || chr(10) || '-x' || chr(10) || '- none' || chr(10) || '- ' || lang || ' : y' || chr(10) || '- : z' as content
+_SKILLS = rf"""l as (select source as session_key, doc_id, 'intro' || chr(10) || '- ' || source || ':' || lang || ': d ' || text || chr(10) || '-x' || chr(10) || '- none' || chr(10) || '- ' || lang || ' : y' || chr(10) || '- : z' as content
   from documents qualify row_number() over (partition by source order by doc_id) = 1),
  n as (select session_key, list_transform(list_filter(list_transform(list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '- ')), lambda x: substr(x, 3)), lambda x: instr(x, ': ') > 1), lambda x: {TRIMMED.format(x="substr(x, 1, instr(x, ': ') - 1)")}) as names from l),
  s as (select session_key, unnest(names) as name, generate_subscripts(names, 1) - 1 as pos from n)"""
@@ -277,12 +263,12 @@ def q24_version_pairs(spark, sf_dir):
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     tail = F.when(i % 3 == 0, "\n</persisted-output> \n").otherwise(" \t")
-    text = F.concat(F.lit("<persisted-output>\nOutput too large ("), F.col("n_chars").cast("string"), F.lit("B). Full output saved to: /tmp/"), i.cast("string"), F.when(i % 2 == 0, ".json").otherwise(".txt"), F.lit("\n\nPreview (first 2KB):\n"), F.left("text", F.lit(200)), tail)
+    text = F.concat(F.lit("<persisted-output>\nOutput too large ("), F.col("n_chars").cast("string"), F.lit("B). Full output saved to: /tmp/"), i.cast("string"), F.when(i % 2 == 0, ".json").otherwise(".txt"), F.lit("\n\nPreview (first 2KB):\n"), F.col("text"), tail)
     return A.table(spark, sf_dir, "documents").select("doc_id", F.when(i % 5 == 0, F.concat(F.lit(" "), text)).otherwise(text).alias("content"))
 
 
 _REFS = rf"""r as (select doc_id, n_chars || 'B' as size_label, '/tmp/' || doc_id || case when doc_id % 2 = 0 then '.json' else '.txt' end as file_path,
-  regexp_replace(case when doc_id % 3 = 0 then left(text, 200) else left(text, 200) || ' ' || chr(9) end, '[\s\p{{Z}}\x{{FEFF}}\x0B]+$', '') as preview from documents where doc_id % 5 > 0)"""
+  regexp_replace(case when doc_id % 3 = 0 then text else text || ' ' || chr(9) end, '[\s\p{{Z}}\x{{FEFF}}\x0B]+$', '') as preview from documents where doc_id % 5 > 0)"""
 
 
 @query(f"with {_REFS} select doc_id, size_label, file_path, preview from r")
@@ -290,9 +276,10 @@ def q25_persisted_output_parse(spark, sf_dir):
     return persisted.parse_persisted(_wrapped(spark, sf_dir))
 
 
-@query(f"with {_REFS} select r.doc_id, r.file_path, d.doc_id is not null as found, length(d.text) as n from r left join documents d on d.doc_id = r.doc_id and d.doc_id % 4 < 3")
+@query(f"with {_REFS} select r.doc_id, r.file_path, d.doc_id is not null as found, length(d.text) as n from r left join labels b on b.doc_id = r.doc_id left join documents d on d.doc_id = b.doc_id")
 def q26_persisted_output_load(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents").where(F.col("doc_id") % 4 < 3)
+    # only labelled documents have been spilled
+    docs = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     files = docs.select(F.concat(F.lit("/tmp/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".json").otherwise(".txt")).alias("file_path"), "text")
     loaded = persisted.load_persisted(persisted.parse_persisted(_wrapped(spark, sf_dir)), files)
     return loaded.select("doc_id", "file_path", "found", F.length("text").cast("bigint").alias("n"))
@@ -331,11 +318,12 @@ def q29_session_tasks(spark, sf_dir):
     return tasks.session_tasks(sessions, _tasks(spark, sf_dir)).select("session_id", "id", "status")
 
 
-@query("select n_name as project, count(c_custkey) as session_count from nation left join customer on c_nationkey = n_nationkey and c_custkey % 50 < n_nationkey group by n_name")
+@query("with p as (select n_name as project from nation union all select r_name from region) select project, count(c_custkey) as session_count from p left join nation on n_name = project left join customer on c_nationkey = n_nationkey group by project")
 def q30_list_projects(spark, sf_dir):
-    nation = A.table(spark, sf_dir, "nation")
-    files = A.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 50 < F.col("c_nationkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("project"), F.col("c_custkey").alias("session_key"))
-    return discovery.count_sessions(nation.select(F.col("n_name").alias("project")), files)
+    nation, region = A.table(spark, sf_dir, "nation"), A.table(spark, sf_dir, "region")
+    files = A.table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("project"), F.col("c_custkey").alias("session_key"))
+    projects = nation.select(F.col("n_name").alias("project")).union(region.select("r_name"))  # no session is in a region
+    return discovery.count_sessions(projects, files)
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,10 +331,10 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries_of(spark, sf_dir).withColumn("nonblank_no", F.row_number().over(order)).withColumn("text", F.concat(F.lit(" text "), F.col("k").cast("string")))
     files = sessions_of(rows).select("session_key", F.concat(F.lit("p"), (F.col("session_key").cast("bigint") % 5).cast("string")).alias("project"))
     stamped = rows.withColumn("timestamp", F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, F.col("timestamp")))
-    return discovery.summaries(jsonl.head(stamped, 20), files)
+    return discovery.summaries(jsonl.head(stamped, discovery.HEAD_LINES), files)
 
 
-_HEAD = f"""{E}, h as (select *, case when k % 3 = 0 then '' when k % 3 = 1 then timestamp end as stamp, 'text ' || k as text from e qualify row_number() over (partition by session_key order by line_no) <= 20),
+_HEAD = f"""{E}, h as (select *, case when k % 3 = 0 then '' when k % 3 = 1 then timestamp end as stamp, 'text ' || k as text from e qualify row_number() over (partition by session_key order by line_no) <= 200),
  sums as (select session_key, 'p' || (session_key::bigint % 5) as project, {", ".join(f"coalesce(arg_min({x}, line_no) filter ({x} <> ''), max({x})) as {x}" for x in ("session_id", "version", "git_branch", "cwd"))},
   coalesce(arg_min(stamp, line_no) filter (stamp <> ''), max(stamp)) as first_timestamp, arg_max(stamp, line_no) filter (stamp is not null) as last_timestamp,
   arg_min(text, line_no) filter (type = 'user') as first_message from h group by session_key)"""
@@ -359,7 +347,7 @@ def q31_list_sessions_head(spark, sf_dir):
 
 @query(f"with {_HEAD} select project, session_key, first_timestamp, (row_number() over (partition by project order by nullif(first_timestamp, '') desc nulls last, session_key))::int as place from sums")
 def q32_find_all_sessions(spark, sf_dir):
-    order = Window.partitionBy("project").orderBy(F.desc_nulls_last(F.nullif("first_timestamp", F.lit(""))), "session_key")
+    order = Window.partitionBy("project").orderBy(*discovery.newest())
     return _summaries(spark, sf_dir).select("project", "session_key", "first_timestamp", F.row_number().over(order).alias("place"))
 
 
@@ -437,9 +425,10 @@ def q39_drift_count(spark, sf_dir):
     return audit.drift_count(_differences(spark, sf_dir))
 
 
-@query(f"with {_SKILLS} select session_key, name from s where not exists (select 1 from documents d where d.doc_id % 2 = 0 and d.source = s.session_key and d.lang = s.name)")
+@query(f"with {_SKILLS} select session_key, name from s where not exists (select 1 from documents d join labels b on b.doc_id = d.doc_id where b.toxic = 1 and d.source = s.session_key and d.lang = s.name)")
 def q40_skills_unused(spark, sf_dir):
-    used = A.table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0).select(F.col("source").alias("session_key"), F.col("lang").alias("name"))
+    toxic = A.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    used = A.table(spark, sf_dir, "documents").join(toxic, "doc_id").select(F.col("source").alias("session_key"), F.col("lang").alias("name"))
     return derive.unused_skills(derive.skills(_listings(spark, sf_dir)), used)
 
 
@@ -465,9 +454,9 @@ def q43_date_parse(spark, sf_dir):
     return A.table(jsonl.configure(spark), sf_dir, "events").select("event_id", epoch_ms(text).alias("ms"))
 
 
-@query("select count(distinct user_id) filter (user_id % 3 > 0) as sessions, count(distinct user_id) filter (user_id % 3 = 0) as subagents, count(*) as entries from events")
+@query("select count(distinct user_id) filter (user_id % 3 > 0) as sessions, count(distinct user_id) filter (user_id % 3 = 0) as subagents, count(*) as entries, (select sum(user_id * 10) from (select distinct user_id from events))::bigint as size from events")
 def q44_audit_counters(spark, sf_dir):
-    rows = A.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("session_key"))
+    rows = A.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("session_key"), (F.col("user_id") * 10).cast("bigint").alias("file_size"))
     return audit.counters(rows, F.col("session_key").cast("bigint") % 3 == 0)
 
 

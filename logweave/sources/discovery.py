@@ -54,9 +54,13 @@ def summaries(entries: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(first_observed(entries), "session_key", "left").join(times, "session_key", "left").join(texts, "session_key", "left")
 
 
-def newest_first(rows: DataFrame, *before: Column) -> DataFrame:
+def newest() -> list[Column]:
     """By first timestamp (text), the latest first; those without, by path, last."""
-    return rows.orderBy(*before, F.desc_nulls_last(F.nullif("first_timestamp", F.lit(""))), "session_key")
+    return [F.desc_nulls_last(F.nullif("first_timestamp", F.lit(""))), F.col("session_key")]
+
+
+def newest_first(rows: DataFrame, *before: Column) -> DataFrame:
+    return rows.orderBy(*before, *newest())
 
 
 def list_sessions(spark: SparkSession, project_dir: str, head_lines: int = HEAD_LINES) -> DataFrame:
