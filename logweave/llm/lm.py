@@ -247,10 +247,10 @@ def probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return level
 
 
-# rows of a chunk: the exact counts of its words, and levels by order; other rows: of an order the n-grams (n) of a
+# rows of a chunk: the exact counts of its words (a byte, and eight more from 255 on), and levels by order; other rows: of an order the n-grams (n) of a
 # level, and the tokens that they are; level 0 has the n-grams of count 2
-TOLD = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("exact", pa.binary()), *((f"q{k}", pa.binary()) for k in (1, 2, 3)), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())])
-TOLD_DDL = "chunk long, slice int, exact binary, q1 binary, q2 binary, q3 binary, `order` int, level int, n long, total long"
+TOLD = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("exact", pa.binary()), ("more", pa.binary()), *((f"q{k}", pa.binary()) for k in (1, 2, 3)), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("total", pa.int64())])
+TOLD_DDL = "chunk long, slice int, exact binary, more binary, q1 binary, q2 binary, q3 binary, `order` int, level int, n long, total long"
 
 
 def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
@@ -281,7 +281,9 @@ def _tell(bits_per_entry: int):
                 cuts = np.cumsum([len(p) for p in parts])[:-1]
                 told[f"q{order}"] = [p.tobytes() for p in np.split(probe(bits, h)[where], cuts)]
                 if order == 1:
-                    told["exact"] = [p.tobytes() for p in np.split(c[where].astype(np.int64), cuts)]
+                    exact = np.split(c[where], cuts)
+                    told["exact"] = [np.minimum(p, 255).astype(np.uint8).tobytes() for p in exact]
+                    told["more"] = [p[p >= 255].astype(np.int64).tobytes() for p in exact]
             yield _rows(TOLD, len(rows), chunk=[row[0] for row in rows], slice=np.full(len(rows), k), **told)
 
     return run
@@ -333,7 +335,7 @@ def context_levels(q: np.ndarray, firsts: np.ndarray) -> dict[int, np.ndarray]:
 
 MET = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("q", pa.binary()), ("order", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("types", pa.float64())])
 MET_DDL = "ids array<long>, held array<boolean>, sizes binary, known binary, base binary, q binary, `order` int, level int, n long, types double"
-MEET = ["chunk", "slice", "ids", "held", "sizes", "tokens", "hashes", "exact", "q1", "q2", "q3"]
+MEET = ["chunk", "slice", "ids", "held", "sizes", "tokens", "hashes", "exact", "more", "q1", "q2", "q3"]
 
 
 def _meet(model: Model, slice_bits: int):
@@ -344,10 +346,11 @@ def _meet(model: Model, slice_bits: int):
         for _, (own, *told) in _by_first(batches):
             _, ids, held, sizes, tokens, hashes, *_ = own
             chunk = Chunk(held, sizes, tokens, hashes, slice_bits)
-            exact = np.frombuffer(b"".join(r[6] for r in told), np.int64)
+            exact = np.frombuffer(b"".join(r[6] for r in told), np.uint8).astype(np.int64)
+            exact[exact == 255] = np.frombuffer(b"".join(r[7] for r in told), np.int64)
             q = np.zeros((3, len(chunk.tokens)), np.uint8)
             for order in (1, 2, 3):
-                level, where = np.frombuffer(b"".join(r[6 + order] for r in told), np.uint8), chunk.distinct(order)[1]
+                level, where = np.frombuffer(b"".join(r[7 + order] for r in told), np.uint8), chunk.distinct(order)[1]
                 if order == 1:
                     count = exact[where][chunk.tokens]
                     where = where[chunk.tokens]
@@ -414,7 +417,7 @@ def score_documents(
     model = Model(histograms, size["starts"])
 
     own = chunks.drop("n", "starts").withColumn("slice", F.lit(-1))
-    meet = own.unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", "slice", "exact", "q1", "q2", "q3"), allowMissingColumns=True)
+    meet = own.unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", "slice", "exact", "more", "q1", "q2", "q3"), allowMissingColumns=True)
     met = written(meet.select(MEET).repartition(n, "chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_meet(model, slice_bits), MET_DDL))
     weights = met.where(F.col("ids").isNull()).groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
     model.weigh({(r["order"], r["level"]): (r["n"], r["types"]) for r in weights})

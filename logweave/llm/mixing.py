@@ -81,9 +81,10 @@ def source_plan(totals: DataFrame, target_entropy: float, max_repetition: float,
     # p / w = p ** (1 - a) * S: the budget that takes the source of the least passes once
     all_once = F.array_max(F.transform("c", lambda x: F.pow(x["p"], 1.0 - F.col("a")))) * F.col("sum") * F.col("whole")
     budget = all_once if budget_tokens is None else F.lit(float(budget_tokens))
-    one = summed.select(F.struct("whole", "a", "sum", budget.alias("b")).alias("one")).scalar()
-    weighed = sized.select("source", "tokens", one.alias("x")).select("source", "tokens", "x.a", "x.b", (F.pow(F.col("tokens") / F.col("x.whole"), F.col("x.a")) / F.col("x.sum")).alias("weight"))
-    return weighed.select("source", "tokens", F.col("a").alias("exponent"), "weight", F.round(F.col("weight") * F.col("b")).cast("long").alias("budget"))
+    one = summed.select("whole", "a", "sum", budget.alias("b")).first().asDict()  # four numbers
+    whole, a, total, b = (F.lit(one[k]).cast("double") for k in ("whole", "a", "sum", "b"))
+    weighed = sized.select("source", "tokens", a.alias("exponent"), (F.pow(F.col("tokens") / whole, a) / total).alias("weight"))
+    return weighed.withColumn("budget", F.round(F.col("weight") * b).cast("long"))
 
 
 def mixing_plan(
@@ -101,7 +102,7 @@ def mixing_plan(
     first two digits of their keys) in which the budget ends, the block of it, the document of that.
     """
     keyed = docs.select(*(c.alias(n) for n, c in _keys(id_col, text_col, source_col).items())).withColumn("block_key", block_key("source", "key"))
-    blocks = keyed.groupBy("source", "block_key").agg(F.sum("tokens").alias("tokens"))
+    blocks = written(keyed.groupBy("source", "block_key").agg(F.sum("tokens").alias("tokens")))
     blocks = blocks.withColumn("group_key", F.substring("block_key", 1, 2))
     groups = blocks.groupBy("source", "group_key").agg(F.sum("tokens").alias("tokens"))
     plan = source_plan(groups.groupBy("source").agg(F.sum("tokens").alias("tokens")), target_entropy, max_repetition, budget_tokens)

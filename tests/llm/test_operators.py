@@ -688,15 +688,90 @@ def components_by_brute_force(prints):
 
 
 def test_simhash_of_texts(docs, rows):
-    from logweave.llm.simhash import drop_near_duplicates, hex64, near_duplicates
+    from logweave.llm.simhash import hex64, near_duplicates
     from pyspark.sql import functions as F
 
     prints = {i: simhash_by_brute_force(t) for i, t in rows}
     roots = components_by_brute_force(prints)
     got = near_duplicates(docs).select("doc_id", hex64(F.col("fp")).alias("h"), "component_id").collect()
     assert {r["doc_id"]: (r["h"], r["component_id"]) for r in got} == {i: (f"{prints[i]:016x}", roots[i]) for i in prints}
-    kept = drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def near_copies_by_brute_force(texts):
+    """{(i, j): Jaccard of five-word shingles} of all pairs of ids with some likeness."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    return {(a, b): j for a in ids for b in ids if a < b and (j := jaccard(sets[a], sets[b])) > 0}
+
+
+def test_similar_documents(spark):
+    from logweave.llm.simhash import drop_near_duplicates, similar_documents
+
+    rng = random.Random(17)
+    words = [f"{a}{b}{k}" for a in "bdfgkl" for b in "aeiou" for k in range(40)]
+    texts = {}
+    for base in range(60):
+        own = rng.choices(words, k=rng.choice([30, 60, 150, 400]))
+        for change in (0, 0.002, 0.01, 0.02, 0.03, 0.1, 0.4):
+            edited = [w if rng.random() >= change else rng.choice(words) for w in own]
+            texts[len(texts)] = rng.choice([" ", "\n", "  "]).join(edited).upper() if change == 0 and base % 2 else " ".join(edited)
+    texts |= {1000: "", 1001: None, 1002: " \n", 1003: "one two", 1004: "one  TWO", 1005: "one three"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    roots = {r["doc_id"]: r["root"] for r in similar_documents(df).collect()}
+    assert roots.keys() == texts.keys()
+    alike = near_copies_by_brute_force(texts)
+    near = [p for p, j in alike.items() if j >= 0.8]
+    assert len(near) > 200 and np.mean([roots[a] == roots[b] for a, b in near]) > 0.95
+    assert all(roots[a] == roots[b] for (a, b), j in alike.items() if j == 1)
+    # what is one hangs together by pairs that are alike
+    for root in set(roots.values()):
+        group = {i for i in roots if roots[i] == root}
+        reached, todo = set(), [min(group)]
+        while todo:
+            i = todo.pop()
+            reached.add(i)
+            todo += [k for k in group - reached if alike.get((min(i, k), max(i, k)), 0) > 0.55]
+        assert reached == group
+    kept = sorted(r["doc_id"] for r in drop_near_duplicates(df).collect())
+    assert kept == sorted(min(i for i in roots if roots[i] == root) for root in set(roots.values()))
+
+
+def test_similar_documents_in_large_groups(spark):
+    from logweave.llm.simhash import drop_near_duplicates
+
+    rng = random.Random(18)
+    words = [f"w{k}" for k in range(2000)]
+    base = rng.choices(words, k=200)
+
+    def copy():
+        out = list(base)
+        for k in rng.sample(range(200), 2):
+            out[k] = rng.choice(words)
+        return " ".join(out)
+
+    rows = [(k, copy()) for k in range(900)] + [(5000 + k, " ".join(rng.choices(words, k=200))) for k in range(50)]
+    kept = sorted(r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == [0, *range(5000, 5050)]
+
+
+def test_erased_choices_find_all_within_six_bits():
+    from logweave.llm import simhash
+
+    rng = random.Random(19)
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 6)))
+        keys = [{k for part in simhash.variants(np.array([x], np.uint64), simhash.WORD_BLOCKS, simhash.WORD_ERASED) for k in part[0].tolist()} for x in (a, b)]
+        assert keys[0] & keys[1]
 
 
 def test_simhash_links_lose_nothing(spark):
@@ -771,6 +846,7 @@ def test_simhash_edges(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=str)
     assert got == [(False, 2, 2), (False, 2, 2), (False, 4, 4), (False, 7, 4), (True, None, 4)]
     assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(df).collect()) == ["2", "4", "None"]
+    assert drop_near_duplicates(empty(spark)).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):
