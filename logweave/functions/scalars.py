@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,21 @@ def trim_right(text: Column) -> Column:
     return F.regexp_replace(text, rf"{TRIM_CLASS}+\z", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(text: Column) -> Column:
     """The VARIANT of a JSON text, or null if anything stands beside the value.
 
-    The parser alone accepts what follows a value; inside either of two wrappers it does not.
+    The parser alone accepts what follows a value. So the text is parsed once, as the first of two items of an array
+    of which the second is the text's hash: what closes the array early, or adds items, loses its place.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+    mark = F.xxhash64(text)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    alone = lambda items: (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "bigint") == mark)
+    return bound(F.try_variant_get(wrapped, "$", "array<variant>"), lambda items: F.when(alone(items), F.get(items, F.lit(0))))
 
 
 def kind_of(value: Column) -> Column:
