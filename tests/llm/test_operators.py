@@ -543,6 +543,73 @@ def test_quality_without_labels(spark):
     assert score_quality(empty(spark), labels).count() == 0
 
 
+def test_quality_equals_a_plain_model(spark):
+    from logweave.llm import quality
+
+    docs, labels, rows = labelled(spark, 120)
+    context, network = quality.fit(docs, labels)
+    context = context.value
+
+    def index_vector(word):
+        v = [0.0] * quality.DIM
+        for part in quality.parts(word):
+            h = xxhash.xxh64_intdigest(part.encode(), quality.SEED)
+            for j in range(quality.NONZERO):
+                piece = h >> 16 * j
+                v[piece % quality.DIM] += 1 if piece >> 8 & 1 else -1
+        length = math.sqrt(sum(x * x for x in v))
+        return [x / length if length else 0.0 for x in v]
+
+    # context vectors: sums of the neighbours' index vectors over the training rows
+    y_of = {i: y for i, _, y in rows}
+    trained = [t.split() for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    for word in ("river", "the", "stone###"):
+        total = np.zeros(quality.DIM)
+        for ws in trained:
+            for k, w in enumerate(ws):
+                if w == word:
+                    for n in ws[max(0, k - 1) : k] + ws[k + 1 : k + 2]:
+                        total += index_vector(n)
+        assert context[word.encode()] == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
+
+    def probability(text):
+        ws = (text or "").split()
+        x = [0.0] * quality.WIDTH
+        for w in ws:
+            for d, value in enumerate(index_vector(w)):
+                x[d] += value / len(ws)
+            for d, value in enumerate(context.get(w.encode().lower(), [])):
+                x[quality.DIM + d] += float(value) / len(ws)
+        x[-3], x[-2], x[-1] = math.sqrt(sum(v * v for v in x[: quality.DIM])), sum(a == b for a, b in zip(ws, ws[1:])) / max(1, len(ws)), math.log1p(len(ws))
+        z = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(x, network.mean, network.scale)]
+        hidden = [max(0.0, sum(z[i] * network.p[0][i][h] for i in range(len(z))) + network.p[1][h]) for h in range(quality.HIDDEN)]
+        logit = sum(a * b for a, b in zip(hidden, network.p[2])) + float(network.p[3])
+        return 1 / (1 + math.exp(-logit / network.temperature))
+
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    for i, text, _ in [*rows[:25], (120, None, 0), (121, "", 0)]:
+        assert got[i] == pytest.approx(probability(text), abs=1e-4)
+    assert sum((got[i] >= 0.5) == (y_of[i] == 1) for i in y_of) > 0.95 * len(y_of)
+
+
+def test_quality_temperature_is_the_best(spark):
+    from logweave.llm.quality import CALIBRATION_SHARE, HIDDEN, SEED, Network
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 12))
+    y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
+    network = Network(x, y)
+    again = np.random.default_rng(SEED)
+    again.normal(0, 1, (12, HIDDEN)), again.normal(0, 1, HIDDEN)
+    held = again.permutation(600)[: int(600 * CALIBRATION_SHARE)]
+
+    def loss(t):
+        p = 1 / (1 + np.exp(-network.logits(x[held]) / t))
+        return -np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))
+
+    assert all(loss(network.temperature) <= loss(network.temperature * f) + 1e-12 for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2))
+
+
 # ---- mixing
 
 
@@ -660,6 +727,43 @@ def test_quality_rules(spark, docs, rows):
     assert score_rules(empty(spark), trusted).count() == 0
 
 
+def test_quality_rules_likelihood_ratio(spark):
+    import struct
+
+    from logweave.llm.quality_rules import BUCKETS, THRESHOLD, score_rules
+
+    def signed(h):
+        return h - 2**64 if h >> 63 else h
+
+    def long_hash(value, seed):
+        return xxhash.xxh64_intdigest(struct.pack("<q", value), seed)
+
+    def buckets(text):
+        units = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", (text or "").lower())
+        h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units]
+        pairs = [signed(long_hash(b, long_hash(a, 42))) for a, b in zip(h, h[1:])]
+        return [x % BUCKETS for x in h + pairs]
+
+    rng = random.Random(31)
+    good, bad = [f"g{k}" for k in range(80)], [f"b{k}" for k in range(80)]
+    rows = [(k, " ".join(rng.choices(good if k % 3 else bad, k=rng.randint(50, 120))) + rng.choice(["", " ##", ". End!"])) for k in range(150)] + [(200, None), (201, "..."), (202, "")]
+    trusted = {k for k in range(150) if k % 3 and k % 2}
+    raw, own = np.ones(BUCKETS), np.ones(BUCKETS)
+    for i, text in rows:
+        for b in buckets(text):
+            raw[b] += 1
+            own[b] += i in trusted
+    ratio = np.log(own / own.sum()) - np.log(raw / raw.sum())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in score_rules(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    for i, text in rows:
+        found = buckets(text)
+        llr = float(np.mean(ratio[found])) if found else 0.0
+        assert got[i]["llr"] == pytest.approx(llr, abs=1e-9)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and llr >= THRESHOLD)
+    assert {got[k]["kept"] for k in range(150) if k % 3 == 0} == {False} and sum(got[k]["kept"] for k in range(150) if k % 3) > 50
+
+
 # ---- SimHash
 
 
