@@ -7,14 +7,21 @@ document's score is the mean over its n-grams of log(trusted / raw), so its leng
 kept if that is not under ``THRESHOLD``: the same outcome at every run (no sampling).
 
 The two count vectors are ``BUCKETS`` rows; counting sends on sums per task only, and the ratios reach the
-rows as one array in a scalar subquery.
+plan as one constant array (as a column it would be copied into every row).
+
+Of the labelled documents of sf0.1 all good ones score over the threshold (99 % over 0.003), and 76 % of the others
+under it; at 0, 99.3 % of the good and 3 % of the others would stay. It is set so that good documents are safe.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.common import quoted
+
 BUCKETS = 10_000
 THRESHOLD = -0.25
 MIN_WORDS = 50
@@ -67,13 +74,13 @@ def bucket_counts(texts: DataFrame) -> DataFrame:
     return hashed.select(F.explode(grams("u")).alias("bucket"), "trusted").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("trusted").alias("good"))
 
 
-def log_ratios(texts: DataFrame) -> DataFrame:
-    """One row with the array of the buckets' log(trusted / raw); all 0 where nothing is trusted."""
-    counts = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(bucket_counts(texts), "bucket", "left")
-    rows = counts.select("bucket", (F.coalesce("n", F.lit(0)) + 1.0).alias("n"), (F.coalesce("good", F.lit(0)) + 1.0).alias("good"))
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "good"))).alias("c"), F.sum("n").alias("every"), F.sum("good").alias("trusted"))
-    ratio = F.transform("c", lambda x: F.when(F.col("trusted") > BUCKETS, F.ln(x["good"] / F.col("trusted")) - F.ln(x["n"] / F.col("every"))).otherwise(0.0))
-    return listed.select(ratio.alias("ratios"))
+def log_ratios(texts: DataFrame) -> Column:
+    """A constant array of the buckets' log(trusted / raw); all 0 where nothing is trusted."""
+    counts = {r["bucket"]: (r["n"], r["good"]) for r in bucket_counts(texts).collect()}  # ``BUCKETS`` rows at most
+    n, good = ([counts.get(b, (0, 0))[k] + 1 for b in range(BUCKETS)] for k in (0, 1))
+    every, trusted = sum(n), sum(good)
+    ratios = [math.log(g / trusted) - math.log(x / every) if trusted > BUCKETS else 0.0 for x, g in zip(n, good)]
+    return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to an array before it runs
 
 
 def score_rules(
@@ -90,15 +97,15 @@ def score_rules(
     text has no words and fails. A text without units has score 0. Null ids are trusted by nothing; repeated
     rows come out repeated, and all count. Other columns are not read. An empty table gives an empty result.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    good = trusted_ids.select(F.col(id_col).alias("__good")).where(F.col("__good").isNotNull()).distinct()
+    plain = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    good = trusted_ids.select(F.col(quoted(id_col)).alias("__good")).where(F.col("__good").isNotNull()).distinct()
     if good.count() <= broadcast_ids:  # ids alone, some MB; more of them meet the documents by a shuffle
         good = F.broadcast(good)
     trusted = plain.join(good, F.col("doc_id") == F.col("__good"), "left").select("text", F.col("__good").isNotNull().cast("long").alias("trusted"))
     counted = _layers(plain)
     held = [c for c in counted.columns if c != "u"]
-    gathered = counted.select(*held, grams("u").alias("g"), log_ratios(trusted).scalar().alias("r"))
-    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(F.col("r"), b))
+    gathered, ratios = counted.select(*held, grams("u").alias("g")), log_ratios(trusted)
+    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     scored = gathered.select(*held, failed.alias("base_failed"), F.when(F.size("g") > 0, total / F.size("g")).otherwise(0.0).alias("llr"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
