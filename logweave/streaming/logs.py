@@ -1,8 +1,8 @@
 """Log files as a stream.
 
 Files of the folder are taken as they are when they are found, so writers should put finished segments there.
-State is bounded by watermarks where a window allows it; usage per request is kept per request, as late lines
-of a request replace earlier ones.
+State is bounded by watermarks where a window allows it; :func:`latest_usage` keeps every request, as late lines of a
+request replace earlier ones, and :func:`recent_usage` only those of windows that are open.
 """
 
 from __future__ import annotations
@@ -42,6 +42,18 @@ def latest_usage(entries: DataFrame) -> DataFrame:
     return asked.groupBy("session_key", "request_id").agg(F.max_by(tokens, "ord").alias("u")).select("session_key", "request_id", "u.*")
 
 
+def recent_usage(entries: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Usage of each request's last line within a window of the entries' own time, final once the watermark has passed it.
+
+    Unlike :func:`latest_usage` this lets go of its state: lines of a request that fall into several windows give a
+    row in each, and lines without a time, or later than the watermark, none.
+    """
+    tokens = F.struct("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+    asked = entries.where((F.col("type") == "assistant") & F.col("request_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
+    last = asked.groupBy(F.window("ts", window), "session_key", "request_id").agg(F.max_by(tokens, "ord").alias("u"))
+    return last.select("window.start", "window.end", "session_key", "request_id", "u.*")
+
+
 def throughput(entries: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Entries and tokens per window of the entries' own time; windows are final once the watermark has passed them."""
     timed = entries.where(F.col("ts").isNotNull()).withWatermark("ts", late)

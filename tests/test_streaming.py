@@ -1,6 +1,6 @@
 import json
 
-from logweave.streaming.logs import latest_usage, stream_entries, throughput
+from logweave.streaming.logs import latest_usage, recent_usage, stream_entries, throughput
 
 
 def line(n, request, minute):
@@ -14,6 +14,7 @@ def test_stream(spark, tmp_path):
     entries = stream_entries(spark, str(folder))
     runs = [
         latest_usage(entries).writeStream.format("memory").queryName("usage").outputMode("complete").start(),
+        recent_usage(entries, "10 minutes").writeStream.format("memory").queryName("recent").outputMode("append").start(),
         throughput(entries).writeStream.format("memory").queryName("rate").outputMode("append").start(),
     ]
     for q in runs:
@@ -24,5 +25,6 @@ def test_stream(spark, tmp_path):
         q.processAllAvailable()
     got = sorted((r["start"].minute, r["entries"], r["tokens"]) for r in spark.table("rate").collect())
     assert got == [(0, 2, 6), (20, 1, 7)]
+    assert sorted((r["start"].minute, r["request_id"], r["input_tokens"]) for r in spark.table("recent").collect()) == [(0, "r", 5), (20, "s", 7)]
     for q in runs:
         q.stop()
