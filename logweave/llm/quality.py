@@ -7,6 +7,9 @@ frequent words have one. A document is the mean of its words' vectors, the lengt
 repetition raises), the share of repeated neighbours and its log length. A two-layer network in numpy gives a
 logit, and a temperature fitted on a part of the sample that the network did not see makes it a probability.
 
+Runs of digits of nine and more are one part, and runs of signs are told apart by their first four signs; words beyond
+the ``VOCABULARY`` most frequent of the sample have an index vector alone. All words of a text count.
+
 The fit uses ``SAMPLE_ROWS`` labelled rows at most (those of the least hashes of ids); only their features
 reach the driver. The vocabulary, the network and so the broadcast have fixed bounds.
 """

@@ -100,6 +100,35 @@ def test_packing_takes_the_cheapest_sequence_with_room():
     assert [where[k] for k in range(6)] == [[(0, 0, 0, 7)], [(1, 0, 0, 6)], [(2, 0, 0, 6)], [(1, 6, 0, 4)], [(2, 6, 0, 4)], [(0, 7, 0, 3)]]
 
 
+def test_packing_balances_the_cost_of_filled_sequences():
+    from logweave.llm.packing import LINEAR, QUADRATIC, Packer
+
+    rng = random.Random(23)
+    lengths = [rng.choice([rng.randint(30, 300), rng.randint(300, 2500)]) for _ in range(4000)]
+    packer, done = Packer(4096, 1 << 30, LINEAR, QUADRATIC), []
+    for k, n in enumerate(lengths):
+        done += packer.add(k, np.full(n, k, np.uint32))
+    done += packer.pack()
+    ours = defaultdict(list)
+    for _, _, ids, _, sequence, _ in done:
+        ours[sequence].append(len(ids))
+    assert {sum(x) for x in ours.values()} == {4096}
+    # as they come, cut where a sequence is full
+    stream, room = [[]], 4096
+    for n in lengths:
+        while n:
+            part = min(n, room)
+            stream[-1].append(part)
+            n, room = n - part, room - part
+            if not room:
+                stream.append([])
+                room = 4096
+    cost = lambda parts: sum(LINEAR * n + QUADRATIC * n * n for n in parts)
+    ours, plain = ([cost(x) for x in s if sum(x) == 4096] for s in (ours.values(), stream))
+    print(np.std(ours), np.std(plain), np.mean(ours), np.mean(plain))
+    assert np.std(ours) < 0.5 * np.std(plain) and max(ours) < max(plain)
+
+
 def test_tokenizer_by_words_equals_the_whole_text():
     from logweave.llm.packing import word_tokenizer
 
