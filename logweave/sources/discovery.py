@@ -17,9 +17,12 @@ SESSION_FILES = "session_key string, project string, name string, size long"
 
 def session_files(spark: SparkSession, project_dir: str, project: str | None = None) -> DataFrame:
     """(session_key, project, name, size) of the logs directly in a project's folder."""
+    return frame(spark, _session_rows(spark, project_dir, project), SESSION_FILES)
+
+
+def _session_rows(spark: SparkSession, project_dir: str, project: str | None) -> list[tuple]:
     name = project if project is not None else project_dir.rstrip("/").rsplit("/", 1)[-1]
-    rows = [(path, name, n, size) for n, path, _, size in listing(spark, project_dir) if n.endswith(".jsonl")]
-    return frame(spark, rows, SESSION_FILES)
+    return [(path, name, n, size) for n, path, is_dir, size in listing(spark, project_dir) if n.endswith(".jsonl") and not is_dir]
 
 
 def count_sessions(projects: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,15 +68,14 @@ def newest_first(rows: DataFrame, *before: Column) -> DataFrame:
 
 def list_sessions(spark: SparkSession, project_dir: str, head_lines: int = HEAD_LINES) -> DataFrame:
     """Summaries of a project's sessions from the first ``head_lines`` non-blank lines of each, the newest first."""
-    files = session_files(spark, project_dir)
-    return newest_first(_summarised(spark, files, head_lines))
+    rows = _session_rows(spark, project_dir, None)
+    return newest_first(_summarised(spark, rows, f"{project_dir.rstrip('/')}/*.jsonl", head_lines))
 
 
-def _summarised(spark: SparkSession, files: DataFrame, head_lines: int) -> DataFrame:
-    paths = [r["session_key"] for r in files.select("session_key").collect()]  # names, which were listed on the driver
-    if not paths:
-        return summaries(_no_entries(spark), files)
-    return summaries(read_head(spark, paths, head_lines), files)
+def _summarised(spark: SparkSession, rows: list[tuple], glob: str, head_lines: int) -> DataFrame:
+    """Summaries of the listed files, which the glob names."""
+    files = frame(spark, rows, SESSION_FILES)
+    return summaries(read_head(spark, glob, head_lines) if rows else _no_entries(spark), files)
 
 
 def _no_entries(spark: SparkSession) -> DataFrame:
@@ -83,10 +85,9 @@ def _no_entries(spark: SparkSession) -> DataFrame:
 
 def find_all_sessions(spark: SparkSession, root: str | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
     """Summaries of all projects' sessions: projects by name, within each the newest first. One scan for all."""
-    projects = [(name, path) for name, path, is_dir, _ in listing(spark, root or default_dir("projects")) if is_dir]
-    rows = [(key, name, n, size) for name, path in projects for n, key, _, size in listing(spark, path) if n.endswith(".jsonl")]
-    files = frame(spark, rows, SESSION_FILES)
-    return newest_first(_summarised(spark, files, head_lines), by_name("project"), F.col("project"))
+    root = (root or default_dir("projects")).rstrip("/")
+    rows = [row for name, path, is_dir, _ in listing(spark, root) if is_dir for row in _session_rows(spark, path, name)]
+    return newest_first(_summarised(spark, rows, f"{root}/*/*.jsonl", head_lines), by_name("project"), F.col("project"))
 
 
 def subagent_files(parents: DataFrame, files: DataFrame, firsts: DataFrame) -> DataFrame:
