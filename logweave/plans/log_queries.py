@@ -14,7 +14,7 @@ from logweave.plans import adapters as A
 from logweave.plans.lineage import shared_dir
 from logweave.plans.registry import query
 from logweave.plans.session import open_logs
-from logweave.sources import discovery, file_history, jsonl
+from logweave.sources import discovery, file_history, jsonl, tasks
 
 # The events that are good lines, in SQL; others are blank (every 19th) or no JSON (every 17th).
 GOOD = "ev as (select *, json_extract_string(props, '$.k')::bigint as k, user_id::varchar as session_key, event_id as line_no from events where event_id % 17 > 0 and event_id % 19 > 0)"
@@ -182,6 +182,22 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def write_store(spark: SparkSession, rows: DataFrame, suffix: str) -> str:
+    """(session_id, name, value) as files ``<root>/<session_id>/<name><suffix>`` in the shared folder, deleted as the logs are."""
+    root = f"{shared_dir(spark).rstrip('/')}/store-{uuid4().hex}"
+    rows.repartition("session_id", "name").write.partitionBy("session_id", "name").text(f"{root}/raw")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(top)
+    for part in fs.globStatus(hadoop.Path(f"{root}/raw/*/*/part-*")):
+        name, session = (p.getName().split("=", 1)[1] for p in (part.getPath().getParent(), part.getPath().getParent().getParent()))
+        fs.mkdirs(hadoop.Path(f"{root}/{session}"))
+        fs.rename(part.getPath(), hadoop.Path(f"{root}/{session}", name + suffix))
+    fs.delete(hadoop.Path(f"{root}/raw"), True)
+    return root
+
+
 def _user(key: str = "session_key") -> Column:
     return F.regexp_extract(base_name(F.col(key)), r"^(\d+)", 1).cast("long")
 
@@ -222,3 +238,86 @@ def q59_list_projects(spark, sf_dir):
  select user_id, 'string:s' || user_id as first_session_id from f where good""")
 def q60_first_lines(spark, sf_dir):
     return jsonl.first_lines(spark, f"{write_logs(spark, sf_dir)}/*/*.jsonl").select(_user().alias("user_id"), "first_session_id")
+
+
+@query(f"""with {_PATHS}
+ select (select count(distinct user_id) from events) as sessions, 0::bigint as subagents, (select count(*) from ev) as entries, (select count(distinct path) from seen) as paths, 0::bigint as drift, 0::bigint as errors, 0::bigint as exit_code""")
+def q61_audit_report(spark, sf_dir):
+    from logweave.plans import audit as command
+
+    root = write_logs(spark, sf_dir)
+    _, found = command.run(spark, root)
+    report, _ = command.run(spark, root, found)
+    numbers = (report.sessions, report.subagents, report.entries, report.paths, report.drift, sum(report.errors_by_method.values()), report.exit_code)
+    return spark.createDataFrame([numbers], ", ".join(f"{n} bigint" for n in "sessions subagents entries paths drift errors exit_code".split()))
+
+
+_BAD = """x as (select event_id, user_id::varchar as session_key, event_type as t, json_extract_string(props, '$.k')::bigint as k from events), m as (
+ select *, unnest(['metrics', 'compaction']) as method from x where t = 'click' and (k % 6 = 0 or k % 9 = 0) union all select *, unnest(['toolCalls', 'isOngoing']) from x where t = 'click' and (k % 5 = 0 or k % 9 = 0)
+ union all select *, 'toolResults' from x where t = 'view' and k % 9 = 0 union all select *, 'firstUserMessage' from x where t = 'view' and (k % 5 = 0 or k % 9 = 0)
+ union all select *, unnest(['skills', 'deferredTools']) from x where t = 'error' and k % 4 > 0 union all select *, 'fileHistory' from x where t = 'purchase' and k % 4 = 0)"""
+
+
+@query(f"with {_BAD} select session_key, event_id as line_no, method from m order by session_key, line_no, method limit 50")
+def q62_first_errors(spark, sf_dir):
+    lines = A.event_log_lines(A.events(jsonl.configure(spark), sf_dir))
+    return audit.first_errors(ops.malformed(jsonl.canonical(lines)), 50)
+
+
+def _task_files(spark: SparkSession, sf_dir: str) -> str:
+    """A task per supplier, in its nation's folder; every fifth is malformed."""
+    k = F.col("s_suppkey")
+    text = A.json_text('{"id":"', k, '","subject":"', F.col("s_name"), '","description":"","status":"', F.when(k % 2 == 0, "pending").otherwise("completed"), '","blocks":[],"blockedBy":["1"]', F.when(k % 5 == 0, "").otherwise("}"))
+    rows = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("session_id"), k.cast("string").alias("name"), text.alias("value"))
+    return write_store(spark, rows, ".json")
+
+
+@query("select s_nationkey::varchar as session_id, s_suppkey::varchar as id, s_name as subject, case when s_suppkey % 2 = 0 then 'pending' else 'completed' end as status from supplier where s_suppkey % 5 > 0")
+def q63_task_store(spark, sf_dir):
+    return tasks.read_tasks(spark, _task_files(spark, sf_dir)).select("session_id", "id", "subject", "status")
+
+
+@query("select distinct s_nationkey::varchar as session_id from supplier")
+def q64_task_sessions(spark, sf_dir):
+    return tasks.list_task_sessions(spark, _task_files(spark, sf_dir))
+
+
+@query("select s_nationkey::varchar as session_id, s_suppkey::varchar as id, s_name as subject from supplier where s_suppkey = 1")
+def q65_task_point_read(spark, sf_dir):
+    nation = A.table(spark, sf_dir, "supplier").where("s_suppkey = 1").first()["s_nationkey"]
+    return tasks.read_task(spark, str(nation), "1", _task_files(spark, sf_dir)).select("session_id", "id", "subject")
+
+
+def _blob_files(spark: SparkSession, sf_dir: str) -> str:
+    """A blob per supplier, in its nation's folder."""
+    name = F.concat(F.lit("h"), F.col("s_suppkey").cast("string"), F.lit("@v1"))
+    rows = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("session_id"), name.alias("name"), F.col("s_name").alias("value"))
+    return write_store(spark, rows, "")
+
+
+@query("select s_nationkey::varchar as session_id, 'h' || s_suppkey || '@v1' as backup_file_name, (length(s_name) + 1)::bigint as size from supplier")
+def q66_blob_listing(spark, sf_dir):
+    return file_history.list_blobs(spark, _blob_files(spark, sf_dir)).select("session_id", "backup_file_name", "size")
+
+
+@query("""select n_nationkey::varchar as session_id, v.k as version, s_name || chr(10) as content from nation cross join (select unnest([1, 2, 3]) as k) v
+ left join supplier on s_nationkey = n_nationkey and s_suppkey = v.k""")
+def q67_blob_read(spark, sf_dir):
+    base = _blob_files(spark, sf_dir)
+    key = F.col("n_nationkey").cast("string")
+    wanted = A.table(spark, sf_dir, "nation").select(key.alias("session_key"), key.alias("session_id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("version"))
+    versions = wanted.withColumn("backup_file_name", F.concat(F.lit("h"), F.col("version").cast("string"), F.lit("@v1"))).drop("session_id")
+    joined = file_history.file_history(versions, wanted.select("session_key", "session_id").distinct(), file_history.list_blobs(spark, base))
+    return file_history.read_blobs(spark, joined, base).select("session_id", "version", "content")
+
+
+@query("select n_name as project, (row_number() over (order by n_name))::int as place from nation")
+def q68_projects_by_name(spark, sf_dir):
+    names = A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("project"))
+    return names.select("project", F.row_number().over(Window.orderBy(discovery.by_name("project"), "project")).alias("place"))
+
+
+@query(f"with {_PATHS}, i as (select path, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds from seen group by path) select path, kinds, (row_number() over (order by path))::int as place from i")
+def q69_sorted_inventory(spark, sf_dir):
+    listed = audit.sorted_inventory(audit.inventory(audit.entry_seeds(jsonl.parsed(event_lines(spark, sf_dir)))))
+    return listed.select("path", F.array_join("kinds", ",").alias("kinds"), F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
