@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -13,29 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-TEXT_ROWS, SMALL_ROWS = 1000, 10_000  # rows of a batch with texts, without
+from logweave.plans.lineage import shared_dir
 
-# The white space that separates words in every contract: space and U+0009 to U+000D.
-SPACE_CLASS = r"\x20\x09-\x0D"
+TEXT_ROWS, SMALL_ROWS = 1000, 10_000  # rows of a batch with texts, without
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if path:
-        return path
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-"))
-    return context.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -109,11 +94,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """From now on the session hands ``rows`` rows at once to Python.
+    """From now on the session hands ``rows`` rows at once to Python, and reads no more at once from Parquet.
 
     Batches of whole texts must be small: they lie in the JVM and in the worker at the same time.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(rows, 4096)))
 
 
 def id_bucket(id_col: Column, modulus: int) -> Column:
@@ -121,11 +107,6 @@ def id_bucket(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
 
 
-def binary_column(batch: pa.RecordBatch, k: int) -> list[bytes]:
-    """A string column as UTF-8 bytes, null as empty."""
-    return [b"" if x is None else x for x in batch.column(k).cast(pa.binary()).to_pylist()]
-
-
 def text_slices(batch: pa.RecordBatch, k: int, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a batch in runs of about ``limit`` bytes, so that what is made of them stays small."""
     column = batch.column(k).cast(pa.binary())

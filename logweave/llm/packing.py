@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import TEXT_ROWS, arrow_batches, text_slices
+from logweave.llm.common import TEXT_ROWS, arrow_batches, quoted, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -274,7 +274,7 @@ def pack_documents(
         for k in range(0, len(done), 2000):
             yield _record(done[k : k + 2000])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, DDL)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(pack, DDL)
 
 
 def pieces_digest(pieces: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ is a span, unless the allow-list has it. A step changes two counts, so the time
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.scalars import bound
 from logweave.llm.common import quoted
 
 # Kind, pattern, group that is measured, least length of it.
@@ -49,11 +49,6 @@ def _run_pattern(characters: str) -> str:
     return f"(?<![{characters}])[{characters}]{{{WINDOW},}}+"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running_sums(numbers: Column) -> Column:
     """The sums up to each of the numbers, itself included: within blocks, then with the sums of the blocks before.
 
