@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from logweave.functions.scalars import file_key, strict_json, trim_right
 from logweave.sources.jsonl import configure
 
-# Fixed value: the wrapper of such a result; groups are size, path and preview.
-WRAPPER = r"^<persisted-output>\nOutput too large \(([^)]+)\)\. Full output saved to: ([^\n]+)\n\nPreview \(first [^)]+\):\n([\s\S]*)\z"
-CLOSING = r"\n?</persisted-output>\s*\z"
+# How the wrapper of such a result begins (groups are size and path) and ends; the preview is between.
+OPENING = r"^<persisted-output>\nOutput too large \(([^)]+)\)\. Full output saved to: ([^\n]+)\n\nPreview \(first [^)]+\):\n"
+CLOSING = "</persisted-output>"
 
 
 def parse_wrapper(content: Column) -> Column:
-    """struct(size_label, file_path, preview) of a wrapper text, null for any other."""
-    part = [F.regexp_extract(content, WRAPPER, k) for k in (1, 2, 3)]
-    preview = trim_right(F.regexp_replace(part[2], CLOSING, ""))
-    return F.when(content.rlike(WRAPPER), F.struct(part[0].alias("size_label"), part[1].alias("file_path"), preview.alias("preview")))
+    """struct(size_label, file_path, preview) of a wrapper text, null for any other.
+
+    Patterns see the first lines alone, however long the preview.
+    """
+    whole, size, path = (F.regexp_extract(content, OPENING, k) for k in range(3))
+    rest = F.substr(content, F.length(whole) + 1)
+    bare = trim_right(rest)
+    inner = F.substr(bare, F.lit(1), F.length(bare) - len(CLOSING))
+    return F.when(content.rlike(OPENING), F.struct(size.alias("size_label"), path.alias("file_path"), F.when(bare.endswith(CLOSING), trim_right(inner)).otherwise(bare).alias("preview")))
 
 
 def parse_persisted(rows: DataFrame, column: str = "content") -> DataFrame:
