@@ -17,7 +17,7 @@ shingles' fingerprint only find almost equal texts, and more bits have too large
 fingerprint of their distinct words, which differ less than shingles do: two of four blocks are erased, of which the
 two that differ least leave two bits at most of any six (of seven in 85 % of cases, of eight in 65 %), and the balls
 of one bit meet as above. Pairs that meet within ``WORD_RADIUS`` bits are verified by a second SimHash, 1024
-bits of the five-word shingles.
+bits of the five-word shingles, and where that leaves a doubt by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ SEED = 42
 NUMBER_SHIFT = 60  # where a key has the number of its block
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 WORD_BLOCKS, WORD_ERASED, WORD_RADIUS = 4, 2, 10
+TREES, FAR = 2, 99  # trees of a bucket; more bits than there are
 SKETCH_LONGS = 16
+BROADCAST_TEXTS = 500_000  # ids of texts to fetch, some 10 MB; more of them meet the documents by a shuffle
 WIDE = 256  # larger buckets are linked by rules, not by rows of distances
 
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -209,27 +211,31 @@ def exact_links(group: np.ndarray, key: int) -> np.ndarray:
 
 
 def nearest_links(group: np.ndarray, key: int) -> np.ndarray:
-    """Links (a, b) of a bucket to what is near: a tree of least distances, or stars where there are very many.
+    """Links (a, b) of a bucket to what is near: ``TREES`` trees of least distances, or stars where there are very many.
 
-    A star's middle is the member next to the majority of the bits, so that copies meet what they are copies of.
+    The trees share no link, so among a few members all pairs are there, and many get links in proportion. The
+    middles of stars are the members next to the majority of the bits, so that copies meet what they are copies of.
     """
     links, left = [], group
     while len(left) > WIDE:
-        middle = left[np.argmin(np.bitwise_count(left ^ np.uint64(majority(left))))]
-        near = np.bitwise_count(left ^ middle) <= WORD_RADIUS
-        links.append(np.stack([np.full(near.sum(), middle), left[near]], axis=1))
+        middles = left[np.argsort(np.bitwise_count(left ^ np.uint64(majority(left))), kind="stable")[:TREES]]
+        near = np.bitwise_count(left ^ middles[0]) <= WORD_RADIUS
+        links += [np.stack([np.full(near.sum(), middle), left[near]], axis=1) for middle in middles]
         left = left[~near]
-    if len(left):
-        distance, to = np.bitwise_count(left ^ left[0]).astype(np.int64), np.zeros(len(left), np.int64)
-        distance[0] = 99  # in the tree
+    apart = np.bitwise_count(left[:, None] ^ left).astype(np.int64)
+    apart[apart > WORD_RADIUS] = FAR
+    np.fill_diagonal(apart, FAR)
+    for _ in range(TREES if len(left) else 0):
+        distance, to, out = apart[0].copy(), np.zeros(len(left), np.int64), np.ones(len(left), bool)
+        out[0] = False
         for _ in range(len(left) - 1):
-            k = int(np.argmin(distance))
-            if distance[k] <= WORD_RADIUS:
+            k = int(np.argmin(np.where(out, distance, FAR + 1)))
+            out[k] = False
+            if distance[k] < FAR:
                 links.append(np.array([[left[to[k]], left[k]]], np.uint64))
-            own = np.bitwise_count(left ^ left[k]).astype(np.int64)
-            closer = (distance < 99) & (own < distance)
-            distance[closer], to[closer] = own[closer], k
-            distance[k] = 99
+                apart[to[k], k] = apart[k, to[k]] = FAR
+            closer = out & (apart[k] < distance)
+            distance[closer], to[closer] = apart[k][closer], k
     return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
 
 
@@ -363,14 +369,7 @@ def sketch(text: bytes, words: int) -> tuple[int, int, list[int]]:
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     distinct = set(tokens)
     own = majority(np.fromiter((digest(w, SEED) for w in distinct), np.uint64, len(distinct)))
-    if len(tokens) <= words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-        ends = np.cumsum(sizes)
-        starts, ends = (ends - sizes)[: len(tokens) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
-        hashes = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
-    return digest(joined, SEED), own, wide_majority(hashes)
+    return digest(joined, SEED), own, wide_majority(shingle_hashes(text, words))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
@@ -390,44 +389,119 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return plain.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
 
 
-def most_bits(similarity: float) -> int:
-    """The bits that sketches of sets of that Jaccard similarity differ by, and one deviation more.
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles, in order; a text of fewer words is one shingle."""
+    tokens = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= words:
+        return np.array([digest(b" ".join(tokens), SEED)], np.uint64)
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    ends = np.cumsum(sizes)
+    starts, ends = (ends - sizes)[: len(tokens) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def bits_between(similarity: float, deviations: float) -> float:
+    """The bits that sketches of sets of that Jaccard similarity differ by, and so many deviations more.
 
     Sets of one size have the cosine 2J / (1 + J), and a bit differs with the chance angle / pi.
     """
     n = 64 * SKETCH_LONGS
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n * chance + math.sqrt(n * chance * (1 - chance)))
+    return n * chance + deviations * math.sqrt(n * chance * (1 - chance))
+
 
+def _candidates(nodes: DataFrame, most: float) -> DataFrame:
+    """(a, b, d): pairs of texts (by copy) that meet by their words' fingerprints, and the bits between their sketches.
 
-def similar_links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between texts (column copy of :func:`sketches`) that are near copies."""
+    Of texts with equal words one stands for all in the buckets; every text is compared with those that stand for
+    what its fingerprint has met, and with the one that stands for itself.
+    """
     longs = [f"s{k}" for k in range(SKETCH_LONGS)]
-    nodes = written(prints.groupBy("copy").agg(*(F.min(c).alias(c) for c in ("fp", *longs))))
-    # of texts with equal words one stands for all in the buckets; the others are compared with it
-    first = nodes.groupBy("fp").agg(F.min(F.struct("copy", *longs)).alias("x"))
-    first = written(first.select("fp", "x.*"))
+    first = written(nodes.groupBy("fp").agg(F.min(F.struct("copy", *longs)).alias("x")).select("fp", "x.*"))
 
-    def side(name: str) -> DataFrame:
-        return first.select(F.col("fp").alias(name), F.col("copy").alias(f"{name}_copy"), *(F.col(c).alias(f"{name}_{c}") for c in longs))
+    def side(texts: DataFrame, name: str) -> DataFrame:
+        return texts.select(F.col("fp").alias(name), F.col("copy").alias(f"{name}_copy"), *(F.col(c).alias(f"{name}_{c}") for c in longs))
 
-    met = _meet(first, WORD_BLOCKS, WORD_ERASED, WORD_RADIUS, nearest_links).join(side("a"), "a").join(side("b"), "b").drop("a", "b")
-    other = nodes.select(F.col("fp").alias("a"), F.col("copy").alias("b_copy"), *(F.col(c).alias(f"b_{c}") for c in longs))
-    same = other.join(side("a"), "a").where(F.col("a_copy") != F.col("b_copy")).drop("a")
+    met = written(_meet(first, WORD_BLOCKS, WORD_ERASED, WORD_RADIUS, nearest_links))
+    both = met.union(met.select("b", "a"))
+    other = both.join(side(first, "a"), "a").join(side(nodes, "b"), "b").drop("a", "b")
+    same = side(nodes, "b").withColumnRenamed("b", "a").join(side(first, "a"), "a").where(F.col("a_copy") != F.col("b_copy")).drop("a")
     differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in longs), F.lit(0))
-    return met.unionByName(same).where(differing <= most_bits(similarity)).select(F.col("a_copy").alias("a"), F.col("b_copy").alias("b"))
+    found = other.unionByName(same).select(F.least("a_copy", "b_copy").alias("a"), F.greatest("a_copy", "b_copy").alias("b"), differing.alias("d"))
+    return found.where(F.col("d") <= most)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles have the similarity, by the texts themselves.
+
+    ``docs`` has doc_id, text_hash and text. Only texts that stand in a pair are fetched, one of each copy.
+    """
+    copies = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
+    wanted = written(nodes.join(copies, "copy", "left_semi").select("copy", "rep.doc_id", "rep.text_hash"))
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    texts = docs.join(some, ["doc_id", "text_hash"]).select("copy", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, found in text_slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([shingle_hashes(t, words).tobytes() for t in found], pa.binary())], names=["copy", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    arrow_batches(docs.sparkSession, TEXT_ROWS)
+    # rows that repeat id and text are one
+    sets = written(texts.mapInArrow(hashed, "copy long, hashes binary").dropDuplicates(["copy"]))
+    joined = pairs.select("a", "b").join(sets.select(F.col("copy").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("copy").alias("b"), F.col("hashes").alias("y")), "b")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that the links don't connect."""
+    roots = components(links)
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return written(joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns))
+
+
+def similar_links(prints: DataFrame, docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between texts (column copy of :func:`sketches`) that are near copies.
+
+    Where the sketches leave no doubt (three deviations) they decide. Of the other pairs those count that sure links
+    don't connect anyway: first each text's nearest, then, of what is still apart, all.
+    """
+    longs = [f"s{k}" for k in range(SKETCH_LONGS)]
+    nodes = written(prints.groupBy("copy").agg(*(F.min(c).alias(c) for c in ("fp", *longs)), F.min(F.struct("doc_id", "text_hash")).alias("rep")))
+    pairs = written(_candidates(nodes, bits_between(similarity, 3)).distinct())
+    links = pairs.where(F.col("d") <= bits_between(similarity, -3)).select("a", "b")
+    doubtful = _apart(pairs.where(F.col("d") > bits_between(similarity, -3)), links)
+    ends = doubtful.select(F.col("a").alias("u"), F.struct("d", "a", "b").alias("p")).union(doubtful.select("b", F.struct("d", "a", "b")))
+    nearest = ends.groupBy("u").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+    links = links.union(_verified(nearest, nodes, docs, words, similarity))
+    rest = _apart(doubtful.join(nearest, ["a", "b"], "left_anti"), links)
+    return links.union(_verified(rest, nodes, docs, words, similarity)) if not rest.isEmpty() else links
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root) of every row with an id; rows of one root are near copies.
 
     Texts of equal words (A-Z lower-cased, white space aside) are one. Others link if their shingles of ``words``
-    words have that Jaccard similarity, by the estimate of their sketches: of pairs just at 0.8 84 % link, of those
-    at 0.85 99.8 %, and of some under it too (at 0.75 a fifth, at 0.7 one in a hundred). A text of fewer words is one shingle. Empty and null texts are one.
+    words have that Jaccard similarity. A text of fewer words is one shingle. Empty and null texts are one.
     Repeated rows come out repeated. Other columns are not read. An empty table gives an empty result.
     """
-    prints = written(sketches(docs.where(F.col(quoted(id_col)).isNotNull()), id_col, text_col, words))
-    roots = components(similar_links(prints, similarity))
+    known = docs.where(F.col(quoted(id_col)).isNotNull())
+    prints = written(sketches(known, id_col, text_col, words))
+    text = F.col(quoted(text_col))
+    plain = known.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    roots = components(similar_links(prints, plain, words, similarity))
     return prints.join(roots, prints["copy"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "copy").alias("root"))
 
 

@@ -56,7 +56,7 @@ def test_near_copies(outputs):
     assert all(not {a, b} <= after.keys() for a, b in near if alike[a, b] == 1)
     assert sum({a, b} <= after.keys() for a, b in near) <= 0.1 * len(near)
     gone = before.keys() - after.keys()
-    assert gone and all(any(i in p and j > 0.55 for p, j in alike.items()) for i in gone)
+    assert gone and all(any(i in p and j >= 0.795 for p, j in alike.items()) for i in gone)
 
 
 def test_mixture(outputs):
