@@ -17,7 +17,9 @@ shingles' fingerprint only find almost equal texts, and more bits have too large
 fingerprint of their distinct words, which differ less than shingles do: two of four blocks are erased, of which the
 two that differ least leave two bits at most of any six (of seven in 85 % of cases, of eight in 65 %), and the balls
 of one bit meet as above. Pairs that meet within ``WORD_RADIUS`` bits are verified by a second SimHash, 1024
-bits of the five-word shingles, and where that leaves a doubt by the shingles themselves.
+bits of the five-word shingles, and where that leaves a doubt by the shingles themselves. That links most near copies
+cheaply, not all: words may differ by more bits, and buckets give their nearest links only. So what is still apart is
+joined exactly, by prefixes of the shingles (:mod:`logweave.llm.shingle_join`), and verified by the shingles.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import SMALL_ROWS, TEXT_ROWS, arrow_batches, columns_of, drop_written, free_names, mix64, partitions, quoted, text_slices, written
+from logweave.llm.shingle_join import PARITY_LONGS, common_elements, most_differing, order_of, pairs_met, parity, prefix
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -215,6 +218,7 @@ def nearest_links(group: np.ndarray, key: int) -> np.ndarray:
 
     The trees share no link, so among a few members all pairs are there, and many get links in proportion. The
     middles of stars are the members next to the majority of the bits, so that copies meet what they are copies of.
+    Other links of the bucket are left to the exact join of :func:`similar_roots`.
     """
     links, left = [], group
     while len(left) > WIDE:
@@ -361,7 +365,7 @@ def wide_majority(hashes: np.ndarray) -> list[int]:
     return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8").tolist()
 
 
-def sketch(text: bytes, words: int) -> tuple[int, int, list[int]]:
+def sketch(text: bytes, hashes: np.ndarray) -> tuple[int, int, list[int]]:
     """(hash of the words, SimHash of the distinct words, ``SKETCH_LONGS`` SimHashes of the distinct shingles); zeros without words."""
     tokens = text.lower().split()
     if not tokens:
@@ -369,24 +373,34 @@ def sketch(text: bytes, words: int) -> tuple[int, int, list[int]]:
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     distinct = set(tokens)
     own = majority(np.fromiter((digest(w, SEED) for w in distinct), np.uint64, len(distinct)))
-    return digest(joined, SEED), own, wide_majority(shingle_hashes(text, words))
+    return digest(joined, SEED), own, wide_majority(hashes)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
-    """(doc_id, text_hash, copy, fp, s0...) of every row by :func:`sketch`; text_hash is the XXH64 of the text. Null texts count as empty."""
-    names = ["copy", "fp", *(f"s{k}" for k in range(SKETCH_LONGS))]
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "text_hash", *names)])
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, copy, fp, s0..., n, p0..., keys) of every row; text_hash is the XXH64 of the text. Null texts count as empty.
+
+    By :func:`sketch`; n is the number of distinct shingles, p their parity and keys their prefix.
+    """
+    text = F.col(quoted(text_col))
+    order = order_of(common_elements(docs.select(text.alias("text")), lambda t: shingle_hashes(t, words)))
+    names = ["copy", "fp", *(f"s{k}" for k in range(SKETCH_LONGS)), "n", *(f"p{k}" for k in range(PARITY_LONGS))]
+    schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "text_hash", *names)), ("keys", pa.binary())])
+
+    def row(text: bytes) -> tuple[list[int], bytes]:
+        hashes = shingle_hashes(text, words)
+        copy, fp, more = sketch(text, hashes)
+        return [copy, fp, *more, len(hashes), *parity(hashes)], prefix(hashes, order, similarity).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, 2):
-                made = np.array([(copy, fp, *more) for copy, fp, more in (sketch(t, words) for t in texts)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:2]), *(pa.array(made[:, k].copy()) for k in range(len(names)))], schema=schema)
+                longs, keys = zip(*map(row, texts))
+                made = np.array(longs, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:2]), *(pa.array(made[:, k].copy()) for k in range(len(names))), pa.array(keys, pa.binary())], schema=schema)
 
     arrow_batches(docs.sparkSession, TEXT_ROWS)
-    text = F.col(quoted(text_col))
     plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return plain.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    return plain.mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'keys' else 'long'}" for f in schema))
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -464,30 +478,50 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
     return written(joined.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs that the links don't connect."""
-    roots = components(links)
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that are of different components."""
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return written(joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns))
 
 
-def similar_links(prints: DataFrame, docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between texts (column copy of :func:`sketches`) that are near copies.
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, d) those that are the nearest of one of their texts."""
+    ends = pairs.select(F.col("a").alias("u"), F.struct("d", "a", "b").alias("p")).union(pairs.select("b", F.struct("d", "a", "b")))
+    return ends.groupBy("u").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
 
-    Where the sketches leave no doubt (three deviations) they decide. Of the other pairs those count that sure links
-    don't connect anyway: first each text's nearest, then, of what is still apart, all.
+def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d): all pairs of texts of different components that may have the similarity; d bits of their parities differ."""
+    longs = [f"p{k}" for k in range(PARITY_LONGS)]
+    sets = nodes.join(roots, nodes["copy"] == roots["node"], "left").select(F.col("copy").alias("id"), F.coalesce("root", "copy").alias("root"), "n", "keys")
+    side = lambda name: nodes.select(F.col("copy").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(c).alias(f"{name}_{c}") for c in longs))
+    both = pairs_met(sets, similarity).join(side("a"), "a").join(side("b"), "b")
+    differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in longs), F.lit(0))
+    found = both.select("a", "b", differing.alias("d"), (F.col("a_n") + F.col("b_n")).alias("n"))
+    return written(found.where(F.col("d") <= most_differing(F.col("n"), similarity)).select("a", "b", "d"))
+
+
+def similar_roots(prints: DataFrame, docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the texts (column copy of :func:`sketches`) that have near copies.
+
+    Where the sketches leave no doubt (three deviations) they decide, of other pairs the shingles: each text's nearest,
+    where sure links don't connect it anyway. Then the same for all pairs that are still apart.
     """
-    longs = [f"s{k}" for k in range(SKETCH_LONGS)]
-    nodes = written(prints.groupBy("copy").agg(*(F.min(c).alias(c) for c in ("fp", *longs)), F.min(F.struct("doc_id", "text_hash")).alias("rep")))
+    longs = ["fp", "n", *(f"s{k}" for k in range(SKETCH_LONGS)), *(f"p{k}" for k in range(PARITY_LONGS))]
+    nodes = written(prints.groupBy("copy").agg(*(F.min(c).alias(c) for c in longs), F.min("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("rep")))
     pairs = written(_candidates(nodes, bits_between(similarity, 3)).distinct())
     links = pairs.where(F.col("d") <= bits_between(similarity, -3)).select("a", "b")
-    doubtful = _apart(pairs.where(F.col("d") > bits_between(similarity, -3)), links)
-    ends = doubtful.select(F.col("a").alias("u"), F.struct("d", "a", "b").alias("p")).union(doubtful.select("b", F.struct("d", "a", "b")))
-    nearest = ends.groupBy("u").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-    links = links.union(_verified(nearest, nodes, docs, words, similarity))
-    rest = _apart(doubtful.join(nearest, ["a", "b"], "left_anti"), links)
-    return links.union(_verified(rest, nodes, docs, words, similarity)) if not rest.isEmpty() else links
+    doubtful = _apart(pairs.where(F.col("d") > bits_between(similarity, -3)), components(links))
+    roots = components(links.union(_verified(_nearest(doubtful), nodes, docs, words, similarity)))
+    rest = _rest(nodes, roots, similarity)
+    for some in (_nearest, lambda pairs: pairs.select("a", "b")):
+        if rest.isEmpty():
+            break
+        known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.union(_verified(some(rest), nodes, docs, words, similarity)))
+        rest = _apart(rest, roots)
+    return roots
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -498,10 +532,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeated rows come out repeated. Other columns are not read. An empty table gives an empty result.
     """
     known = docs.where(F.col(quoted(id_col)).isNotNull())
-    prints = written(sketches(known, id_col, text_col, words))
+    prints = written(sketches(known, id_col, text_col, words, similarity))
     text = F.col(quoted(text_col))
     plain = known.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    roots = components(similar_links(prints, plain, words, similarity))
+    roots = similar_roots(prints, plain, words, similarity)
     return prints.join(roots, prints["copy"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "copy").alias("root"))
 
 

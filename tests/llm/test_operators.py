@@ -1066,3 +1066,56 @@ def test_mixing_sums_equal_keys_before_they_meet(spark):
     got = mix(df, budget_tokens=700).collect()
     assert len(got) == 400 and len({r["copies"] for r in got if r["doc_id"] is None}) == 1
     assert sum(r["copies"] * r["n_tokens"] for r in got) <= 700
+
+
+def test_similar_documents_lose_no_link(spark):
+    from logweave.llm.simhash import similar_documents
+
+    rng = random.Random(23)
+    texts = {}
+    # one bucket: the same words in 300 orders, each with a near copy; the middle of the bucket is like none of them
+    words = [f"w{k}" for k in range(60)]
+    for k in range(300):
+        order = rng.sample(words, 60)
+        texts[2 * k] = " ".join(order)
+        texts[2 * k + 1] = " ".join([order[1], order[0], *order[2:]])
+    # few words in many shingles: what is added differs by more bits of the words' fingerprints than buckets reach
+    for k in range(20):
+        own, more = ([f"{name}{k}x{j}" for j in range(6)] for name in "uv")
+        text = rng.choices(own, k=200)
+        texts[1000 + 2 * k], texts[1001 + 2 * k] = " ".join(text), " ".join(text + more)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    roots = {r["doc_id"]: r["root"] for r in similar_documents(df).collect()}
+    alike = {(a, b): jaccard(shingles(texts[a]), shingles(texts[b])) for a, b in ((k, k + 1) for k in texts if k % 2 == 0)}
+    assert all(j >= 0.8 for j in alike.values()) and len(alike) == 320
+    assert [p for p in alike if roots[p[0]] != roots[p[1]]] == []
+    assert len(set(roots.values())) == 320
+
+
+def test_sets_met_by_prefixes_are_all_that_are_alike(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.llm.shingle_join import most_differing, order_of, pairs_met, parity, prefix
+
+    rng = random.Random(24)
+    common = [rng.getrandbits(64) for _ in range(30)]
+    sets = []
+    for _ in range(120):
+        base = {rng.getrandbits(64) for _ in range(rng.choice([1, 2, 5, 20, 90]))} | set(rng.sample(common, rng.choice([0, 4, 30])))
+        for change in (0, 0.05, 0.1, 0.3):
+            sets.append(np.array(sorted({e if rng.random() >= change else rng.getrandbits(64) for e in base}), np.uint64))
+    roots = [k if k % 7 else 0 for k in range(len(sets))]
+    expected = {
+        (a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+        if roots[a] != roots[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9
+    }
+    assert len(expected) > 300
+    for counts in ({}, {e: k + 3 for k, e in enumerate(common)}):
+        order = order_of(counts)
+        df = spark.createDataFrame([(k, roots[k], len(s), bytearray(prefix(s, order, 0.8).tobytes())) for k, s in enumerate(sets)], "id long, root long, n int, keys binary")
+        for block in (1 << 18, 50):
+            got = [(r["a"], r["b"]) for r in pairs_met(df.repartition(3), 0.8, block).collect()]
+            assert len(set(got)) == len(got) and expected <= set(got) and all(roots[a] != roots[b] for a, b in got)
+    bits = [int(np.bitwise_count(np.array(parity(sets[a]), np.uint64) ^ np.array(parity(sets[b]), np.uint64)).sum()) for a, b in sorted(expected)]
+    most = spark.createDataFrame([(len(sets[a]) + len(sets[b]),) for a, b in sorted(expected)], "n int").select(most_differing(F.col("n"), 0.8)).collect()
+    assert all(d <= r[0] for d, r in zip(bits, most))
