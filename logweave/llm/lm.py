@@ -3,7 +3,8 @@
 1. Every text becomes numbers of words where it is read, in chunks of about ``CHUNK_TOKENS`` tokens, written to
    the shared folder.
 2. A chunk sends the hashes of its distinct words, pairs and triples of neighbours, with their counts in training
-   texts, by slices of the hash. So all of an n-gram meets in one task, which sums the counts of its slice.
+   texts, by slices of the hash. So all of an n-gram meets in one task, which sums the counts of its slice. Triples
+   go after the others, whose shuffle is deleted then, so both don't lie on disk at once.
 3. A count c becomes the level 1 + floor(log2 c). The filter of the slice holds each n-gram once per level up to
    its own (Talbot and Osborne, 2007) in ``BITS_PER_ENTRY`` bits per entry, so a count is read by probing level
    after level until one is missing. The slice probes for all chunks that asked and sends the levels back (and the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,12 +170,16 @@ class Chunk:
         return np.bincount(where[valid], minlength=n)
 
 
-ASKED = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), *((f"{kind}{k}", pa.binary()) for k in (1, 2, 3) for kind in ("h", "c", "more"))])
-ASKED_DDL = "slice int, chunk long, " + ", ".join(f"{kind}{k} binary" for k in (1, 2, 3) for kind in ("h", "c", "more"))
+PASSES = [(1, 2), (3,)]  # orders that are asked for together
 
 
-def _ask(slice_bits: int):
+def _asked_ddl(orders: tuple[int, ...]) -> str:
+    return "slice int, chunk long, " + ", ".join(f"{kind}{k} binary" for k in orders for kind in ("h", "c", "more"))
+
+
+def _ask(slice_bits: int, orders: tuple[int, ...]):
     """Of every chunk the distinct n-grams of each slice, in order, with their counts: a byte, and four more from 255 on."""
+    schema = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), *((f"{kind}{k}", pa.binary()) for k in orders for kind in ("h", "c", "more"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = np.arange(1 << slice_bits, dtype=np.uint64)
@@ -181,7 +187,7 @@ def _ask(slice_bits: int):
             for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 chunk = Chunk(*row, slice_bits)
                 parts, rows = [], np.zeros(len(slices), np.int64)
-                for order in (1, 2, 3):
+                for order in orders:
                     h, where = chunk.distinct(order)
                     c = chunk.counts(order, where, len(h))
                     cut = np.append(np.searchsorted(h, slices << np.uint64(64 - slice_bits if order == 1 else 32)), len(h))
@@ -194,7 +200,7 @@ def _ask(slice_bits: int):
                 for s in range(0, len(some), 4096):
                     ks = some[s : s + 4096]
                     columns = [pa.array([data[a:b] for a, b in zip(cut[ks].tolist(), cut[ks + 1].tolist())], pa.binary()) for data, cut in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(np.full(len(ks), number)), *columns], schema=ASKED)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(np.full(len(ks), number)), *columns], schema=schema)
 
     return run
 
@@ -257,14 +263,13 @@ def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def _tell(bits_per_entry: int):
+def _tell(bits_per_entry: int, orders: tuple[int, ...]):
     """Per slice: what its n-grams are to each chunk, in the order asked, and the histograms of the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows in _by_first(batches):
             told = {}
-            for order in (1, 2, 3):
-                at = 3 * order - 2
+            for at, order in zip((1, 4), orders):
                 parts = [np.frombuffer(row[at], np.uint64 if order == 1 else np.uint32) for row in rows]
                 asked = np.concatenate(parts)
                 counts = np.concatenate([np.frombuffer(row[at + 1], np.uint8) for row in rows]).astype(np.int64)
@@ -346,11 +351,11 @@ def _meet(model: Model, slice_bits: int):
         for _, (own, *told) in _by_first(batches):
             _, ids, held, sizes, tokens, hashes, *_ = own
             chunk = Chunk(held, sizes, tokens, hashes, slice_bits)
-            exact = np.frombuffer(b"".join(r[6] for r in told), np.uint8).astype(np.int64)
-            exact[exact == 255] = np.frombuffer(b"".join(r[7] for r in told), np.int64)
+            exact = np.frombuffer(b"".join(r[6] or b"" for r in told), np.uint8).astype(np.int64)
+            exact[exact == 255] = np.frombuffer(b"".join(r[7] or b"" for r in told), np.int64)
             q = np.zeros((3, len(chunk.tokens)), np.uint8)
             for order in (1, 2, 3):
-                level, where = np.frombuffer(b"".join(r[7 + order] for r in told), np.uint8), chunk.distinct(order)[1]
+                level, where = np.frombuffer(b"".join(r[7 + order] or b"" for r in told), np.uint8), chunk.distinct(order)[1]
                 if order == 1:
                     count = exact[where][chunk.tokens]
                     where = where[chunk.tokens]
@@ -408,9 +413,11 @@ def score_documents(
     size = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
     slice_bits = max(LEAST_SLICE_BITS, (size["n"] // SLICE_TOKENS).bit_length())
 
-    asked = chunks.select("chunk", "held", "sizes", "tokens", "hashes").mapInArrow(_ask(slice_bits), ASKED_DDL)
-    told = asked.repartition(n, "slice").sortWithinPartitions("slice")
-    told = written(told.mapInArrow(_tell(bits_per_entry), TOLD_DDL))
+    def passed(orders: tuple[int, ...]) -> DataFrame:
+        asked = chunks.select("chunk", "held", "sizes", "tokens", "hashes").mapInArrow(_ask(slice_bits, orders), _asked_ddl(orders))
+        return written(asked.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_tell(bits_per_entry, orders), TOLD_DDL))
+
+    told = reduce(DataFrame.union, [passed(orders) for orders in PASSES])
     histograms: dict[int, dict[int, tuple[int, int]]] = {1: {}, 2: {}, 3: {}}
     for r in told.where(F.col("chunk").isNull()).groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
         histograms[r["order"]][r["level"]] = r["n"], r["total"]

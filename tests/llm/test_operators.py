@@ -1119,3 +1119,22 @@ def test_sets_met_by_prefixes_are_all_that_are_alike(spark):
     bits = [int(np.bitwise_count(np.array(parity(sets[a]), np.uint64) ^ np.array(parity(sets[b]), np.uint64)).sum()) for a, b in sorted(expected)]
     most = spark.createDataFrame([(len(sets[a]) + len(sets[b]),) for a, b in sorted(expected)], "n int").select(most_differing(F.col("n"), 0.8)).collect()
     assert all(d <= r[0] for d, r in zip(bits, most))
+
+
+def test_written_tables_leave_no_shuffle(spark, monkeypatch):
+    from logweave.llm import lm
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {str(f) for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+    seen, written = [], lm.written
+
+    def noted(df):
+        before = held()
+        out = written(df)
+        seen.append(held() - before)
+        return out
+
+    monkeypatch.setattr(lm, "written", noted)
+    df = spark.createDataFrame([(k, f"one two three w{k % 5}") for k in range(50)], "doc_id long, text string").repartition(3)
+    assert lm.score_documents(df).count() == 50
+    assert seen == [set()] * 4
